@@ -6,12 +6,16 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, media, topk
+from . import bpe, chat, html_extract, media, mixing, topk
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
 
 
+def op1_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_digests(table(spark, sf_dir, "documents"))
+
+
 def op2_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.bpe_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(TOKENIZER))
 
@@ -39,9 +43,30 @@ def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op2_bpe": op2_bpe, "op4_chat": op4_chat, "op5_html": op5_html, "op6_topk": op6_topk, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_bpe": op2_bpe, "op4_chat": op4_chat, "op5_html": op5_html, "op6_topk": op6_topk, "op10_media": op10_media}
 
 ORACLE_SQL = {
+    "op1_mix": r"""
+WITH sized AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+         ('0x' || substr(md5('0:' || coalesce(doc_id::VARCHAR, '')), 1, 15))::BIGINT AS place FROM documents),
+sources AS (
+  SELECT source, sum(size)::BIGINT AS source_size, 2 * sum(size)::BIGINT AS cap,
+         [3, 1, 2][1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3] AS weight FROM sized GROUP BY source),
+levels AS (
+  SELECT *, cap / weight AS reach,
+         (1.5::DOUBLE * sum(source_size) OVER () - coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+         / sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level FROM sources),
+shared AS (SELECT *, arg_min(CASE WHEN level <= reach THEN level END, CASE WHEN level <= reach THEN reach END) OVER () AS l FROM levels),
+targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(l * weight, cap::DOUBLE)) AS target FROM shared),
+quotas AS (
+  SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target + 0.5)::BIGINT // source_size) ELSE 0 END AS whole,
+         floor(target + 0.5)::BIGINT AS quota FROM targets),
+placed AS (
+  SELECT d.*, q.source_size, q.target, q.whole, q.quota - q.whole * q.source_size AS rest,
+         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
+  FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
+SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed""",
     "op4_chat": rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
