@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def _packed(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            lengths = np.array([-1 if v is None else v for v in pa.compute.list_value_length(batch.column(1)).to_pylist()], int)
+            lengths = np.array([-1 if v is None else v for v in pc.list_value_length(batch.column(1)).to_pylist()], int)
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for dim in np.unique(lengths[lengths >= 0]).tolist():
                 chosen = np.flatnonzero(lengths == dim)
