@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, html_extract, jaccard, media, mixing, quality, topk, toxicity
+from . import bpe, chat, html_extract, jaccard, licenses, media, mixing, quality, topk, toxicity
 from .common import table
 
 TOKENIZER = "word_bpe_49k.json"
@@ -51,11 +51,15 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.document_licenses(table(spark, sf_dir, "documents"))
+
+
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.media_digests(media.text_media(table(spark, sf_dir, "documents")))
 
 
-QUERIES = {"op1_mix": op1_mix, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_chat": op4_chat, "op5_html": op5_html, "op6_topk": op6_topk, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op10_media": op10_media}
+QUERIES = {"op1_mix": op1_mix, "op2_bpe": op2_bpe, "op3_jaccard": op3_jaccard, "op4_chat": op4_chat, "op5_html": op5_html, "op6_topk": op6_topk, "op7_quality": op7_quality, "op8_toxicity": op8_toxicity, "op9_licenses": op9_licenses, "op10_media": op10_media}
 
 ORACLE_SQL = {
     "op3_jaccard": r"""
