@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +31,7 @@ from .labelled import chosen, fold, mapped, rows_of
 from .quality import keep, scaling
 
 #: Letters of context; labelled rows of each class that are counted, and that scale the scores, at most.
-ORDER, COUNTED, SCALED = 5, 3000, 1500
+ORDER, COUNTED, SCALED = 5, 1500, 1000
 FOLDS, HELD_OUT, SCALE_FOLD, THRESHOLD = 5, 0, 4, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word that are spelt out; longer runs of letters are judged in pieces of this length.
@@ -144,6 +144,12 @@ def corpus_continuations(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return counts.join(wanted, ["h", "c"], "left_semi").join(sums, "h")
 
 
+def _rows(df: DataFrame):
+    """Rows of a bounded table as tuples, batch by batch; far smaller on the driver than Row objects."""
+    for batch in df.toArrow().to_batches(20_000):
+        yield from zip(*(column.to_pylist() for column in batch.columns))
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> Ratios:
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     train = known.filter(fold("doc_id", FOLDS) != HELD_OUT).withColumn("scales", fold("doc_id", FOLDS) == SCALE_FOLD)
@@ -163,10 +169,10 @@ def fit(documents: DataFrame, labels: DataFrame) -> Ratios:
     steps = checkpointed(_steps(counted).groupBy("toxic", "h", "c").agg(F.count("*").alias("n")))
     wanted = steps.select("h", "c").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.length("h") - 1))).select(F.expr("substring(h, length(h) - k + 1, k)").alias("h"), "c").distinct()
     # both tables hold spellings of the bounded sample only
-    shared = {(r.h, r.c): (r.n, r.total, r.kinds) for r in corpus_continuations(documents, wanted).collect()}
-    counts: list[dict] = [defaultdict(int), defaultdict(int)]
-    for r in steps.collect():
-        counts[r.toxic][r.h, r.c] = r.n
+    shared = {(h, c): (n, total, kinds) for h, c, n, total, kinds in _rows(corpus_continuations(documents, wanted).select("h", "c", "n", "total", "kinds"))}
+    counts: list[dict] = [{}, {}]
+    for toxic, h, c, n in _rows(steps.select("toxic", "h", "c", "n")):
+        counts[toxic][h, c] = n
     model = Ratios(counts, shared)
     model.prior = prior
     held = rows.filter("scales").select("text", "toxic").collect()  # SCALED rows of each class at most
