@@ -34,7 +34,7 @@ from .common import checkpointed, partitions_for
 
 WORDS, PERCENT = 5, 75
 #: Bounds of a packed batch: documents and bytes of text.
-BATCH_DOCUMENTS, BATCH_BYTES = 16_384, 24 << 20
+BATCH_DOCUMENTS, BATCH_BYTES = 16_384, 6 << 20
 #: Incidences in one range of hashes, and bits of a hash that are kept below its range.
 RANGE, LOW_BITS = 1 << 20, 48
 #: A shingle is listed by a batch if one in so many of its documents holds it, and is frequent if one in so many of all do.
@@ -60,7 +60,7 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], memo: dict) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
-    if len(memo) > 500_000:
+    if len(memo) > 200_000:
         memo.clear()
     # bytes.lower touches A-Z only, and bytes.split cuts at ASCII white space only
     words = [(t or b"").lower().split() for t in texts]
