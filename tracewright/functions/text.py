@@ -137,7 +137,7 @@ def fast_time(line: Column) -> Column:
 
 def is_truncated(line: Column) -> Column:
     """An object ``truncated`` that holds ``errMsg``; by substrings where the line isn't JSON."""
-    nested = line.rlike(r'"truncated"\s*:\s*\{(?:[^{}]|\{[^{}]*\})*"errMsg"')
+    nested = line.rlike(r'"truncated"\s*:\s*\{[^}]*"errMsg"')
     return F.when(F.try_parse_json(line).isNotNull(), nested).otherwise(line.contains('"truncated"') & line.contains('"errMsg"'))
 
 
