@@ -66,3 +66,11 @@ def test_compress_plan(spark):
     plan = ", ".join(["IXSCAN { a: 1, b: { c: 1, d: 1 } }"] * 3)
     df = spark.createDataFrame([(plan,), ("COLLSCAN",), (None,)], "p string").select(text.compress_plan(F.col("p")).alias("p"))
     assert [r.p for r in df.collect()] == ["IXSCAN { a: 1, b: { c: 1, d: 1 } } (x3)", "COLLSCAN", None]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from tracewright.__main__ import main
+
+    (tmp_path / "a.log").write_text('{"t":{"$date":"2024"},"c":"COMMAND","attr":{"lsid":{"id":1},"a":1}}\n{"c":"STORAGE"}\n')
+    main(["trim", "-f", str(tmp_path / "a.log"), str(tmp_path / "none.log"), "--stdout"])
+    assert capsys.readouterr().out.splitlines() == ['{"t":{"$date":"2024"},"c":"COMMAND","attr":{"a":1}}', f"skipped: {tmp_path / 'none.log'}"]
