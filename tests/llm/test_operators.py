@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 
 import numpy as np
@@ -228,3 +229,20 @@ def test_license_scan(spark):
     rows = sorted(((r.doc_id, r.license, r.via, r.inherited_from) for r in licenses.license_scan(files).collect()), key=repr)
     assert rows == [(1, "MIT", "own", None), (2, "MIT", "inherited", "a"), (2, "MIT", "inherited", "a"), (3, "Apache-2.0", "own", None), (4, None, "none", None), (5, None, "none", None), (6, "GPL-3.0", "own", None), (7, "GPL-3.0", "inherited", "a/b/c")]
     assert licenses.license_scan(files.filter("doc_id > 99")).collect() == []
+
+
+def test_toxicity_counts_every_labelled_row(spark):
+    """A telling word in one of 6,000 toxic rows, whichever row it is, has a ratio of its own."""
+    random.seed(8)
+    words = [a + b for a in "bcdfg" for b in ("an", "elo", "irst", "oud")]
+    texts = [" ".join(random.choice(words) + random.choice(words) for _ in range(4)) + f" {'zork' if i % 2 else 'mild'}" for i in range(12_000)]
+    labels = spark.createDataFrame([(i, 1, i % 2) for i in range(12_000)], "doc_id long, quality int, toxic int")
+    docs = documents(spark, texts)
+    rows = toxicity.labelled_rows(docs, labels)
+    counts = {(r.h, r.c): (r.n0, r.n1) for r in toxicity.class_counts(docs, rows).collect()}
+    counted = {t: {x for i, x in enumerate(texts) if i % 2 == t and zlib.crc32(str(i).encode()) % 5 not in (0, 4)} for t in (0, 1)}
+    assert len(counted[1]) > 3000
+    assert counts["^zor", "k"] == (0, len(counted[1])) and counts["^mil", "d"] == (len(counted[0]), 0)
+    model = toxicity.fit(docs, labels)
+    assert model.words(["zork"])[0] > 5 > -5 > model.words(["mild"])[0] and model.words([]).size == 0
+    assert rows.filter("scales").count() > 2000

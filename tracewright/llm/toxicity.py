@@ -8,18 +8,19 @@ its toxic minus its ordinary log-likelihood; a document is described by its two
 for its length, and by its mean over words, and a logistic scaling, fitted on labelled rows that the models
 haven't counted, turns these into a score.
 
-Only the spellings that the labelled sample holds have a likelihood ratio of their own, so the table sent to
-executors is bounded by that sample; how often the corpus continues them is counted over all documents.
+Every labelled row of the training folds is counted or scales the scores; none is sampled.  The spellings that
+labelled texts hold have a likelihood ratio of their own, found by joins.  The table sent to executors has two
+numbers a spelling, its 64-bit key and its ratio, so it grows with the different spellings of labelled texts, not
+with their rows.
 
 Defined results: a null text is an empty one; texts without words, and all texts when a class has no labelled
-rows, get the share of toxic rows as their score; sampled rows are bounded by COUNTED and SCALED.
+rows, get the share of toxic rows as their score; labelled texts that are equal count once, as toxic if any is
+labelled so; doc_id is the key of documents.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -27,11 +28,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed
-from .labelled import chosen, fold, mapped, rows_of
+from .labelled import fold, mapped
 from .quality import keep, scaling
 
-#: Letters of context; labelled rows of each class that are counted, and that scale the scores, at most.
-ORDER, COUNTED, SCALED = 5, 1500, 1000
+#: Letters of context.
+ORDER = 5
+#: Labelled ids are broadcast up to so many, and joined by a shuffle beyond; the rows are the same.
+BROADCAST_IDS = 1_000_000
+#: Texts whose words are held at once.
+SLICE = 200
 FOLDS, HELD_OUT, SCALE_FOLD, THRESHOLD = 5, 0, 4, 0.5
 WORD = re.compile(r"[^\W\d_]+")
 #: Letters of a word that are spelt out; longer runs of letters are judged in pieces of this length.
@@ -46,9 +51,30 @@ def words_of(text: str | None) -> set[str]:
     return found
 
 
-def spellings(word: str) -> list[tuple[str, str]]:
-    marked = f"^{word}$"
-    return [(marked[max(0, i - ORDER) : i], marked[i]) for i in range(1, len(marked))]
+def _mix(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
+def _codes(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32)
+
+
+def _keys(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit keys of the contexts and of the spellings in rows of ORDER + 1 letters, zeros before a word's mark."""
+    w = [windows[:, i].astype(np.uint64) for i in range(ORDER + 1)]
+    context = _mix(_mix(w[0] << np.uint64(42) | w[1] << np.uint64(21) | w[2]) + (w[3] << np.uint64(21) | w[4]))
+    return context, _mix(context * np.uint64(3) + w[5])
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
+    """Values of the wanted ones among sorted keys."""
+    if not len(keys):
+        return np.broadcast_to(missing, wanted.shape)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], missing)
 
 
 def _steps(words: DataFrame) -> DataFrame:
@@ -61,53 +87,35 @@ def _steps(words: DataFrame) -> DataFrame:
 class Ratios:
     """Log-likelihood ratios of spellings, and the scaling of a document's evidence."""
 
-    def __init__(self, counts: list[dict], shared: dict):
-        """counts: of ordinary and toxic, {(context, letter): n}; shared: {(context, letter): (n, total, kinds)}."""
-        totals, kinds, discounts = [], [], []
-        for n in counts:
-            total, kind = Counter(), Counter()
-            for (h, _), v in n.items():
-                total[h] += v
-                kind[h] += 1
-            ones, twos = sum(v == 1 for v in n.values()), sum(v == 2 for v in n.values())
-            totals.append(total)
-            kinds.append(kind)
-            discounts.append(ones / (ones + 2 * twos) if ones else DISCOUNT)
-        memo: dict[tuple[str, str], float] = {}
-
-        def backoff(h: str, c: str) -> float:
-            """The shared model's probability of c after h."""
-            if (h, c) not in memo:
-                below = backoff(h[1:], c) if h else 1 / 256
-                n, total, kind = shared.get((h, c), (0, 0, 0))
-                memo[h, c] = (max(n - DISCOUNT, 0) + DISCOUNT * kind * below) / total if total else below
-            return memo[h, c]
-
-        share = [{h: discounts[k] * kinds[k][h] / totals[k][h] for h in totals[k]} for k in (0, 1)]
-        #: of spellings that a class has seen, and of other letters after a context that it has seen
-        self.seen: dict[tuple[str, str], float] = {}
-        self.other = {h: math.log(share[1].get(h, 1.0) / share[0].get(h, 1.0)) for h in {*share[0], *share[1]}}
-        for h, c in {*counts[0], *counts[1]}:
-            base = backoff(h[1:], c)
-            p = [(max(counts[k].get((h, c), 0) - discounts[k], 0) / totals[k][h] + share[k][h] * base) if h in share[k] else base for k in (0, 1)]
-            self.seen[h, c] = math.log(p[1] / p[0])
-        self.scale, self.prior = None, 0.5
-
-    def word(self, word: str) -> float:
-        seen, other = self.seen, self.other
-        return sum(seen[s] if s in seen else other.get(s[0], 0.0) for s in spellings(word))
+    def __init__(self, seen: tuple[np.ndarray, np.ndarray], other: tuple[np.ndarray, np.ndarray], prior: float):
+        """Sorted keys and values: seen, of spellings that a class has seen; other, of other letters after a context that it has seen."""
+        self.seen, self.other, self.prior, self.scale = seen, other, prior, None
+
+    def words(self, words: list[str]) -> np.ndarray:
+        """The evidence of each word."""
+        if not words:
+            return np.zeros(0)
+        codes = _codes([f"{chr(0) * ORDER}^{w}$" for w in words])
+        windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER + 1)
+        windows = windows[(windows[:, -1] != 0) & (windows[:, -1] != ord("^"))]
+        contexts, steps = _keys(windows)
+        ratios = _looked_up(*self.seen, steps, _looked_up(*self.other, contexts, 0.0))
+        return np.bincount(np.repeat(np.arange(len(words)), [len(w) + 1 for w in words]), ratios, len(words))
 
     def evidence(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+        return np.concatenate([np.zeros((0, 4)), *(self._evidence(texts[i : i + SLICE], memo) for i in range(0, len(texts), SLICE))])
+
+    def _evidence(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+        found = [words_of(text) for text in texts]
+        if len(memo) > 250_000:
+            memo.clear()
+        new = sorted({w for words in found for w in words if w not in memo})
+        memo.update(zip(new, self.words(new).tolist()))
         rows = []
-        for text in texts:
-            found = words_of(text)
+        for words in found:
             best = second = longest = total = 0.0
-            for w in found:
-                v = memo.get(w)
-                if v is None:
-                    if len(memo) > 500_000:
-                        memo.clear()
-                    v = memo[w] = self.word(w)
+            for w in words:
+                v = memo[w]
                 total += v
                 if v > second:
                     if v > best:
@@ -115,7 +123,7 @@ class Ratios:
                     else:
                         second = v
                     longest = max(longest, v / (len(w) + 1))
-            rows.append((best, second, longest, total / max(1, len(found))))
+            rows.append((best, second, longest, total / max(1, len(words))))
         return np.array(rows).reshape(-1, 4)
 
     def score(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
@@ -144,46 +152,111 @@ def corpus_continuations(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     return counts.join(wanted, ["h", "c"], "left_semi").join(sums, "h")
 
 
-def _rows(df: DataFrame):
-    """Rows of a bounded table as tuples, batch by batch; far smaller on the driver than Row objects."""
-    for batch in df.toArrow().to_batches(20_000):
-        yield from zip(*(column.to_pylist() for column in batch.columns))
+def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
+    """doc_id, toxic and scales of the labelled rows of the training folds, one for each different text."""
+    known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    train = checkpointed(known.filter(fold("doc_id", FOLDS) != HELD_OUT).withColumn("scales", fold("doc_id", FOLDS) == SCALE_FOLD))
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    # a text that is also counted doesn't scale
+    by_text = _joined(documents, train).select("doc_id", digest, "toxic", "scales").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min("scales").alias("scales"))
+    return checkpointed(by_text.drop("digest"))
+
+
+def _joined(documents: DataFrame, ids: DataFrame) -> DataFrame:
+    few = ids.count() <= BROADCAST_IDS
+    return documents.select("doc_id", "text").join(F.broadcast(ids) if few else ids, "doc_id")
+
+
+def class_counts(documents: DataFrame, rows: DataFrame) -> DataFrame:
+    """h, c, and of each class how many distinct words of distinct counted texts hold the spelling: n0, n1."""
+
+    def spread(texts, toxic):
+        # equal words of a batch are one row
+        found: dict[tuple[str, int], int] = {}
+        for text, t in zip(texts, toxic):
+            for w in words_of(text):
+                found[w, t] = found.get((w, t), 0) + 1
+        return ((w, t, n) for (w, t), n in found.items())
+
+    schema, kinds = "word string, toxic int, n long", {"word": pa.string(), "toxic": pa.int32(), "n": pa.int64()}
+    words = mapped(_joined(documents, rows.filter("NOT scales")).select("text", "toxic"), spread, schema, kinds)
+    of = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
+    by_word = words.groupBy("word").agg(of(0), of(1))
+    return checkpointed(_steps(by_word).groupBy("h", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
+
+
+def backed_off(documents: DataFrame, steps: DataFrame) -> DataFrame:
+    """h, c and base, the shared model's probability of c after h without its first letter."""
+    suffixes = F.explode(F.expr("transform(sequence(0, length(h) - 1), k -> substring(h, length(h) - k + 1, k))")).alias("h")
+    shared = checkpointed(corpus_continuations(documents, steps.select(suffixes, "c").distinct()))
+    # from the empty context up, each level backs off to the one below
+    levels = []
+    for k in range(ORDER):
+        level = shared.filter(F.length("h") == k).withColumn("b", F.lit(1 / 256))
+        if k:
+            level = level.drop("b").withColumn("shorter", F.expr("substring(h, 2)")).join(levels[-1].select(F.col("h").alias("shorter"), "c", F.col("p").alias("b")), ["shorter", "c"])
+        levels.append(level.select("h", "c", F.expr(f"(greatest(n - {DISCOUNT}D, 0D) + {DISCOUNT}D * kinds * b) / total").alias("p")))
+    below = levels[0]
+    for level in levels[1:]:
+        below = below.unionByName(level)
+    return steps.select("h", "c", F.expr("substring(h, 2)").alias("shorter")).join(below.select(F.col("h").alias("shorter"), "c", F.col("p").alias("base")), ["shorter", "c"]).drop("shorter")
+
+
+def _table(df: DataFrame, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted keys and values of rows (text, v): 16 bytes a row reach the driver."""
+    contexts = text == "h"
+
+    def keyed(texts, values):
+        if not texts:
+            return ()
+        padded = [(t + "\0" if contexts else t).rjust(ORDER + 1, "\0") for t in texts]
+        keys = _keys(_codes(padded).reshape(-1, ORDER + 1))[0 if contexts else 1]
+        return zip(keys.view(np.int64).tolist(), values)
+
+    found = mapped(df.select(text, "v"), keyed, "k long, v double", {"k": pa.int64(), "v": pa.float64()}).toArrow()
+    keys = found["k"].to_numpy().view(np.uint64)
+    order = np.argsort(keys, kind="stable")
+    return keys[order], found["v"].to_numpy()[order]
+
+
+def ratios(documents: DataFrame, steps: DataFrame, prior: float) -> Ratios:
+    sums = steps.agg(*(F.count_if(F.col(f"n{k}") == m) for k in (0, 1) for m in (1, 2))).first()  # one row
+    discounts = [ones / (ones + 2 * twos) if ones else DISCOUNT for ones, twos in (sums[:2], sums[2:])]
+    contexts = steps.groupBy("h").agg(*(x for k in (0, 1) for x in (F.sum(f"n{k}").alias(f"total{k}"), F.count_if(F.col(f"n{k}") > 0).alias(f"kinds{k}"))))
+    for k in (0, 1):
+        contexts = contexts.withColumn(f"share{k}", F.expr(f"if(total{k} > 0, {discounts[k]!r}D * kinds{k} / total{k}, 1D)"))
+    contexts = checkpointed(contexts.withColumn("v", F.expr("ln(share1 / share0)")))
+    rows = steps.join(contexts.drop("v"), "h").join(backed_off(documents, steps), ["h", "c"])
+    for k in (0, 1):
+        rows = rows.withColumn(f"p{k}", F.expr(f"if(total{k} > 0, greatest(n{k} - {discounts[k]!r}D, 0D) / total{k} + share{k} * base, base)"))
+    return Ratios(_table(rows.select(F.concat("h", "c").alias("spelling"), F.expr("ln(p1 / p0)").alias("v")), "spelling"), _table(contexts, "h"), prior)
 
 
 def fit(documents: DataFrame, labels: DataFrame) -> Ratios:
     known = labels.filter("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    train = known.filter(fold("doc_id", FOLDS) != HELD_OUT).withColumn("scales", fold("doc_id", FOLDS) == SCALE_FOLD)
-    totals = {r.toxic: r["count"] for r in train.groupBy("toxic").count().collect()}
+    totals = {r.toxic: r["count"] for r in known.filter(fold("doc_id", FOLDS) != HELD_OUT).groupBy("toxic").count().collect()}
     prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    ids = None
-    for scales, most in ((False, COUNTED), (True, SCALED)):
-        for toxic in (0, 1):
-            part = chosen(train.filter((F.col("toxic") == toxic) & (F.col("scales") == scales)), most)
-            ids = part if ids is None else ids.unionByName(part)
-    rows = checkpointed(rows_of(documents, ids))
-
-    def spread(texts, toxic):
-        return ((w, t) for text, t in zip(texts, toxic) for w in words_of(text))
-
-    counted = mapped(rows.filter("NOT scales").select("text", "toxic"), spread, "word string, toxic int", {"word": pa.string(), "toxic": pa.int32()})
-    steps = checkpointed(_steps(counted).groupBy("toxic", "h", "c").agg(F.count("*").alias("n")))
-    wanted = steps.select("h", "c").distinct().withColumn("k", F.explode(F.sequence(F.lit(0), F.length("h") - 1))).select(F.expr("substring(h, length(h) - k + 1, k)").alias("h"), "c").distinct()
-    # both tables hold spellings of the bounded sample only
-    shared = {(h, c): (n, total, kinds) for h, c, n, total, kinds in _rows(corpus_continuations(documents, wanted).select("h", "c", "n", "total", "kinds"))}
-    counts: list[dict] = [{}, {}]
-    for toxic, h, c, n in _rows(steps.select("toxic", "h", "c", "n")):
-        counts[toxic][h, c] = n
-    model = Ratios(counts, shared)
-    model.prior = prior
-    held = rows.filter("scales").select("text", "toxic").collect()  # SCALED rows of each class at most
-    y = np.array([r.toxic for r in held])
-    if counts[0] and counts[1] and len(set(y.tolist())) > 1:
-        share = np.array([1 - prior, prior])
-        n = np.array([(y == 0).sum(), (y == 1).sum()])
-        # classes are sampled apart; weights give them back their shares
-        weight = (share * len(y) / n)[y]
-        target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
-        model.scale = scaling(model.evidence([r.text for r in held], {}), target, weight)
+    rows = labelled_rows(documents, labels)
+    kinds = {(r.toxic, r.scales) for r in rows.select("toxic", "scales").distinct().collect()}  # four at most
+    steps = class_counts(documents, rows)
+    if len(kinds) < 4 or not all(steps.agg(F.sum("n0"), F.sum("n1")).first()):
+        nothing = np.zeros(0, np.uint64), np.zeros(0)
+        return Ratios(nothing, nothing, prior)
+    model = ratios(documents, steps, prior)
+    sent = documents.sparkSession.sparkContext.broadcast(model)
+
+    def evidence(texts, toxic):
+        return ((*x, t) for x, t in zip(sent.value.evidence(texts, {}).tolist(), toxic))
+
+    names = ["best", "second", "longest", "mean"]
+    held = mapped(_joined(documents, rows.filter("scales")).select("text", "toxic"), evidence, ", ".join(f"{x} double" for x in names) + ", toxic int", {x: pa.float64() for x in names} | {"toxic": pa.int32()}).toArrow()
+    y = held["toxic"].to_numpy()
+    share = np.array([1 - prior, prior])
+    n = np.array([(y == 0).sum(), (y == 1).sum()])
+    # equal texts count once; weights give the classes back their shares
+    weight = (share * len(y) / n)[y]
+    target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
+    model.scale = scaling(np.stack([held[x].to_numpy() for x in names], 1), target, weight)
     return model
 
 
