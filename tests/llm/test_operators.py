@@ -246,3 +246,12 @@ def test_toxicity_counts_every_labelled_row(spark):
     model = toxicity.fit(docs, labels)
     assert model.words(["zork"])[0] > 5 > -5 > model.words(["mild"])[0] and model.words([]).size == 0
     assert rows.filter("scales").count() > 2000
+
+
+def test_license_scores_keep_with_corpus_size(spark):
+    notices = ["Released under the MIT License by the authors.", "This project is licensed under the MIT License.", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.']
+    for copies in (300, 30_000):
+        plain = spark.range(copies).select((F.col("id") + 10).alias("doc_id"), F.lit("a/x.txt").alias("path"), F.when(F.col("id") % 3 == 0, "the authors wrote a report").when(F.col("id") % 100 == 1, "Licensed under the Apache License, Version 2.0.").when(F.col("id") % 100 == 2, "Released under the MIT License.").otherwise("nothing").alias("text"))
+        docs = plain.unionByName(spark.createDataFrame([(i, "b/x.txt", t) for i, t in enumerate(notices)], "doc_id long, path string, text string"))
+        rows = {r.doc_id: r.own_license for r in licenses.license_scan(docs).filter("doc_id < 10").collect()}
+        assert rows == {0: "MIT", 1: "MIT", 2: "Apache-2.0"}
