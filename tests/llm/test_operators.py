@@ -255,3 +255,12 @@ def test_license_scores_keep_with_corpus_size(spark):
         docs = plain.unionByName(spark.createDataFrame([(i, "b/x.txt", t) for i, t in enumerate(notices)], "doc_id long, path string, text string"))
         rows = {r.doc_id: r.own_license for r in licenses.license_scan(docs).filter("doc_id < 10").collect()}
         assert rows == {0: "MIT", 1: "MIT", 2: "Apache-2.0"}
+
+
+def test_license_notices_over_lines(spark):
+    gpl = "# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\n#\n# More."
+    mit = "MIT License\n\nCopyright (c) 2020 someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n"
+    texts = {1: gpl, 2: mit, 3: "        GNU GENERAL PUBLIC LICENSE\n           Version 3, 29 June 2007\n\n Copyright", 4: "A long report of many things that happened. Released under the MIT License. And then it went on about the weather.", 5: "// SPDX-License-Identifier: MIT\nint x;", 6: "                 Apache License\n           Version 2.0, January 2004\n", 7: "no notice of any kind\nstands in this text", 8: "SPDX-License-Identifier: Zlib\nmit", 9: "/* SPDX-License-Identifier: GPL-2.0 */"}
+    plain = spark.range(2000).select((F.col("id") + 10).alias("doc_id"), F.lit("b/x.txt").alias("path"), F.lit("they wrote a report").alias("text"))
+    rows = licenses.license_scan(plain.unionByName(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t in texts.items()], "doc_id long, path string, text string"))).filter("doc_id < 10").collect()
+    assert {r.doc_id: r.own_license for r in rows} == {1: "GPL-3.0", 2: "MIT", 3: "GPL-3.0", 4: "MIT", 5: "MIT", 6: "Apache-2.0", 7: None, 8: None, 9: "GPL-2.0"}
