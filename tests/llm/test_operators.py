@@ -264,3 +264,12 @@ def test_license_notices_over_lines(spark):
     plain = spark.range(2000).select((F.col("id") + 10).alias("doc_id"), F.lit("b/x.txt").alias("path"), F.lit("they wrote a report").alias("text"))
     rows = licenses.license_scan(plain.unionByName(spark.createDataFrame([(i, f"d{i}/x.txt", t) for i, t in texts.items()], "doc_id long, path string, text string"))).filter("doc_id < 10").collect()
     assert {r.doc_id: r.own_license for r in rows} == {1: "GPL-3.0", 2: "MIT", 3: "GPL-3.0", 4: "MIT", 5: "MIT", 6: "Apache-2.0", 7: None, 8: None, 9: "GPL-2.0"}
+
+
+def test_html_keeps_articles_in_marked_elements():
+    weights = html_extract.weights_of(Counter())
+    text = "these are the words of an article that has several of them to be kept as a whole"
+    for page in (f'<body class="has-sidebar"><p>{text}</p></body>', f'<div class="with-sidebar content"><p>{text}</p></div>', f'<article class="post comments-open"><p>{text}</p></article>', f'<div id="main-menu-wrap"><p>{text}</p></div>', f'<div class="social-news"><p>{text}</p></div>', f'<body class="menu"><p>{text}</p></body>', f'<div class="widget"><article><p>{text}</p></article></div>', f'<svg width="1"/><p>{text}</p>', f'<button>&nbsp;<p>{text}</p>', f'<iframe src=x /><p>{text}</p>'):
+        assert html_extract.extract(page, weights) == text, page
+    assert html_extract.extract(f"<p>{text}</p><script>var a = 1", weights) == text
+    assert html_extract.extract(f'<div class="big sidebar"><p>{text}</p></div>', weights) == ""

@@ -23,10 +23,11 @@ from pyspark.sql import functions as F
 
 # Element names of HTML by role, and words that mark elements which aren't the article.
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
+RAW = frozenset(("script", "style"))
 NEVER = frozenset("nav footer aside form menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
-MARKED = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])", re.I)
+MARKED = re.compile(r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|\s)", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
@@ -39,6 +40,7 @@ WORD_WEIGHT, TAG_MOST, TAG_LEAST, BARRED = 0.25, -0.05, -12.0, -1e4
 def tokens(page: str):
     """(kind, value, attributes): kind is 'text', 'open' or 'close'; hidden elements are skipped whole."""
     at, n = 0, len(page)
+    unclosed: set[str] = set()  # a name without an end from here on has none later
     while at < n:
         found = TOKEN.search(page, at)
         if found is None:
@@ -51,8 +53,13 @@ def tokens(page: str):
         if not name:
             continue
         if not found[1] and name in HIDDEN:
-            end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
-            at = end.end() if end else n
+            # self-closed or without an end in the page, it is empty; a script goes on to the end of the page
+            if name in RAW or not (found[3] or "").endswith("/") and name not in unclosed:
+                end = re.compile(rf"</{re.escape(name)}\s*(?:>|\Z)", re.I).search(page, at)
+                if end or name in RAW:
+                    at = end.end() if end else n
+                else:
+                    unclosed.add(name)
             continue
         yield ("close" if found[1] else "open"), name, found[3] or ""
 
@@ -60,6 +67,8 @@ def tokens(page: str):
 def _barred(name: str, attributes: str) -> bool:
     if name in NEVER:
         return True
+    if name in ("html", "body") or _main(name, attributes):
+        return False
     return any(MARKED.search(v) or m[1].lower() == "role" and v.lower() in ("navigation", "banner", "complementary", "contentinfo", "search", "form") for m in ATTRIBUTE.finditer(attributes) for v in [m[2] or m[3] or m[4] or ""])
 
 
@@ -67,19 +76,38 @@ def _main(name: str, attributes: str) -> bool:
     return name in ("article", "main") or any(m[1].lower() == "role" and (m[2] or m[3] or m[4] or "").lower() in ("main", "article") for m in ATTRIBUTE.finditer(attributes))
 
 
+def _holding(items: list[tuple[str, str, str]]) -> set[int]:
+    """Places of the open tags around marked content, and of its own."""
+    stack: list[tuple[str, int]] = []
+    found: set[int] = set()
+    for i, (kind, value, attributes) in enumerate(items):
+        if kind == "open" and value not in VOID:
+            stack.append((value, i))
+            # what stands in an element that is never content by its name isn't the content
+            if _main(value, attributes) and not any(name in NEVER for name, _ in stack):
+                found.update(k for _, k in stack)
+        elif kind == "close":
+            depth = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == value), None)
+            if depth is not None:
+                del stack[depth:]
+    return found
+
+
 def walk(page: str):
     """(kind, value, barred, content) in page order.
 
-    barred: inside an element that is never content.  A header is one only outside of the content.
+    barred: inside an element that is never content; one that holds marked content isn't barred.  A header is one only outside of the content.
     """
     stack: list[tuple[str, bool, bool]] = []
-    for kind, value, attributes in tokens(page):
+    items = list(tokens(page))
+    holding = _holding(items)
+    for i, (kind, value, attributes) in enumerate(items):
         barred, content = (stack[-1][1], stack[-1][2]) if stack else (False, False)
         if kind == "text":
             yield kind, value, barred, content
         elif kind == "open":
             inside = content or _main(value, attributes)
-            out = barred or _barred(value, attributes) or value == "header" and not content
+            out = barred or i not in holding and (_barred(value, attributes) or value == "header" and not content)
             yield kind, value, out, content
             if value not in VOID:
                 stack.append((value, out, inside))
