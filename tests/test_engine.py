@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tracewright import LogAnalysis
 from tracewright.api import trim_logs
-from tracewright.operators.metrics import p95, ranked_p95
+from tracewright.operators.metrics import grouped, p95, ranked, ranked_p95
 from tracewright.sources.lines import read_lines
 
 SF = "/root/testdata/sf0.001"
@@ -118,6 +118,64 @@ def test_files_gzip_zip_and_missing(spark, tmp_path):
     assert "<table" in (tmp_path / "r.html").read_text()
 
 
+def test_files_of_one_name_stay_apart(spark, tmp_path):
+    line = json.dumps(command(durationMillis=4, appName="app"), separators=(",", ":"))
+    for folder in ("a", "b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "mongod.log").write_text(f"{line}\n{line}\n")
+    paths = [str(tmp_path / folder / "mongod.log") for folder in ("a", "b")]
+    limited, _ = read_lines(spark, paths, line_limit=1)
+    assert limited.count() == 2
+    logs = LogAnalysis(spark, paths)
+    assert logs.appname_connections().first()["count"] == 2 and logs.appname_connections("compat").collect() == []
+    folder = logs.folder
+    logs.close()
+    assert not (tmp_path / folder).exists() and logs.folder is None
+
+
+def test_expiry_lines_are_counted_and_classified(spark):
+    named = command("find", "deletedTTL", durationMillis=1)
+    expired = {"c": "INDEX", "ctx": "x", "msg": "Deleted expired documents", "attr": {"namespace": "a.TTL", "numDeleted": 5, "durationMillis": 2}}
+    monitor = expired | {"ctx": "TTLMonitor"}
+    logs = analysis(spark, named, expired, monitor)
+    assert {(r.op, r.coll, r.nreturned) for r in logs.operations.collect()} == {("find", "deletedTTL", None), ("remove", "TTL", 5)}
+    assert {r.label for r in logs.op_type_stats().collect()} == {"find", "ttl_delete", "index_operation"}
+    assert logs.ttl_operations().first().totalDeleted == 10
+    stats = logs.run_stats().first()
+    assert (stats.ttlLines, stats.ignored, stats.foundOps) == (3, 1, 2)
+
+
+def test_percentiles_of_a_hot_group_need_no_list(spark):
+    rows = spark.range(60_000).select(F.when(F.col("id") % 3 == 0, "cold").otherwise("hot").alias("g"), (F.col("id") % 977).alias("v"), F.lit(None).cast("long").alias("none"))
+    found = ranked(rows, ["g"], {"p": F.col("v"), "q": F.col("none")})
+    assert "collect_list" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert {r.g: (r.p, r.q) for r in found.collect()} == {r.g: (r.p, 0.0) for r in rows.groupBy("g").agg(p95("v").alias("p")).collect()}
+    both = grouped(rows, ["g"], [F.count("*").alias("n")], {"q": F.col("none")})
+    assert {(r.g, r.n, r.q) for r in both.collect()} == {("cold", 20_000, 0.0), ("hot", 40_000, 0.0)}
+
+
+def test_node_types(spark):
+    from tracewright.operators.classify import node_type
+
+    cases = {"nodeType: analytics": "analytics", "a: b<br>role: analytics": "analytics", "nodeType: voting": "voting", "workloadType: operational": "voting", "provider: p, region: r": "voting", "region: r": None, None: None, "": None}
+    rows = spark.createDataFrame([(k, v) for k, v in cases.items()], "tags string, want string").withColumn("got", node_type(F.col("tags"))).collect()
+    assert all(r.want == r.got for r in rows)
+
+
+def test_classification_reads_a_line_once(spark):
+    plan = analysis(spark, command(durationMillis=1), store=False).operations._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("parseJson") == 1 and plan.count("try_variant_get") < 60
+
+
+def test_redaction_reaches_views_and_ignored_lines(spark, tmp_path):
+    doc = command("find", durationMillis=1, queryHash="H")
+    doc["attr"]["command"] |= {"filter": {"name": "zoe"}, "$readPreference": {"mode": "nearest", "tags": [{"who": "zoe"}]}}
+    logs = analysis(spark, doc, '{"c":"NETWORK","user":"zoe"}', redact=True)
+    logs.create_views()
+    for view in ("log_lines", "log_docs", "slow_op", "query_hash"):
+        assert "zoe" not in json.dumps([r.asDict(recursive=True) for r in spark.table(view).collect()], default=str), view
+
+
 def test_oversize_line_is_skipped_alone(spark):
     stats = analysis(spark, command(durationMillis=1), '{"find":"' + "x" * (1 << 20) + '"}', command(durationMillis=1)).run_stats().first()
     assert (stats.oversizeLines, stats.foundOps) == (1, 2)
@@ -151,12 +209,27 @@ def test_streaming_windows(spark, tmp_path):
         query.stop()
 
 
-@pytest.mark.parametrize("name", ["main_operations", "query_hash_read_prefs", "error_codes", "run_stats", "driver_stats"])
+def test_streamed_hashes_and_indexes(spark, tmp_path):
+    from tracewright.streaming.live import live_documents, live_index_stats, live_query_hash, read_stream
+
+    (tmp_path / "a.log").write_text("\n".join(json.dumps(command(durationMillis=d, queryHash="H", planSummary="COLLSCAN", planningTimeMicros=2000), separators=(",", ":")) for d in (1, 2, 9)))
+    for name, function in (("hashes", live_query_hash), ("indexes", live_index_stats)):
+        query = function(live_documents(read_stream(spark, str(tmp_path)))).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"cp{name}")).start()
+        try:
+            query.processAllAvailable()
+            row = spark.table(name).first()
+            assert (row["count"], row.p95Ms) == (3, 9.0)
+        finally:
+            query.stop()
+    assert spark.table("hashes").first().p95PlanMs == 2.0 and spark.table("indexes").first().isCollScan
+
+
+@pytest.mark.parametrize("name", ["scan_files", "main_operations", "write_operations", "query_hash_read_prefs", "error_codes", "run_stats", "driver_stats"])
 def test_against_duckdb(spark, name):
     from tracewright.plans.queries import ORACLES, QUERIES
 
     con = duckdb.connect()
-    for table in ("events", "customer", "part", "orders"):
+    for table in ("events", "customer", "part", "orders", "nation"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = QUERIES[name](spark, SF)
     result = con.execute(ORACLES[name])

@@ -49,7 +49,7 @@ def main(argv: list[str] | None = None) -> None:
             for row in found.orderBy("file", "line_no").toLocalIterator():
                 print(row.value)
     else:
-        logs = LogAnalysis(spark, options.files, config=options.config, namespaces=options.namespaces, redact=options.redact, by_shard=options.shards, line_limit=options.limit, persist=True)
+        logs = LogAnalysis(spark, options.files, config=options.config, namespaces=options.namespaces, redact=options.redact, by_shard=options.shards, line_limit=options.limit)
         missing = logs.skipped
         for option, name in CSV_OPTIONS.items():
             if path := getattr(options, option):

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from functools import cached_property
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,20 +13,24 @@ from .operators import drivers as d
 from .operators import prefilter
 from .operators.classify import classified, slow_op
 from .operators.documents import get, parsed, staged
+from .scratch import new_folder, removed, stored
 from .sources import sinks
 from .sources.lines import read_lines, strip_prefix
 from .sources.rules import FilterRules
 
 
 class LogAnalysis:
-    """Lazy analyses of log files.
+    """Analyses of log files.
 
-    ``persist`` keeps the classified operations (never the documents) for several analyses.  ``redact`` masks
-    every column that may hold a user's text, after aggregation.
+    The first analysis of operations classifies the lines once and writes the typed operations (never the documents) as
+    Parquet to the shared folder; every analysis of operations reads the columns that it needs from there.
+    ``store=False`` leaves that out, and each classifies anew.  ``close`` deletes what was written.  ``redact`` masks
+    every column that may hold a user's text, after aggregation, and those of the views.
     """
 
-    def __init__(self, spark: SparkSession, paths: list[str] | None = None, *, lines: DataFrame | None = None, rules: FilterRules | None = None, config: str | None = None, namespaces: list[str] | None = None, redact: bool = False, by_shard: bool = False, line_limit: int | None = None, persist: bool = False):
-        self.spark, self.namespaces, self.redact, self.by_shard, self.persist = spark, namespaces, redact, by_shard, persist
+    def __init__(self, spark: SparkSession, paths: list[str] | None = None, *, lines: DataFrame | None = None, rules: FilterRules | None = None, config: str | None = None, namespaces: list[str] | None = None, redact: bool = False, by_shard: bool = False, line_limit: int | None = None, store: bool = True):
+        self.spark, self.namespaces, self.redact, self.by_shard, self.store = spark, namespaces, redact, by_shard, store
+        self.folder: str | None = None
         self.rules = rules or (FilterRules.from_properties(config) if config else FilterRules())
         self.skipped: list[str] = []
         if lines is None:
@@ -49,22 +52,29 @@ class LogAnalysis:
     @cached_property
     def operations(self) -> DataFrame:
         ops = slow_op(self.classified)
-        return ops.persist(StorageLevel.MEMORY_AND_DISK) if self.persist else ops
+        if not self.store:
+            return ops
+        self.folder = new_folder(self.spark, "operations")
+        return stored(ops, self.folder)
 
     def close(self) -> None:
-        if self.persist:
-            self.operations.unpersist()
+        if self.folder:
+            removed(self.spark, self.folder)
+            self.folder = None
+            del self.operations
 
     def _masked(self, df: DataFrame) -> DataFrame:
         if not self.redact:
             return df
         for column in df.columns:
-            if column in ("sample", "line", "sampleMetadata", "sampleAuth"):
+            if column in ("sample", "line", "sampleMetadata", "sampleAuth", "value"):
                 df = df.withColumn(column, red.redacted(F.col(column)))
             elif column == "sanitizedFilter":
                 df = df.withColumn(column, red.sanitized(F.col(column)))
-            elif column in ("message", "username"):
+            elif column in ("message", "username", "readPreferenceTags", "topReadPreferenceTags"):
                 df = df.withColumn(column, red.redacted_text(F.col(column)))
+            elif column in ("readPreferenceTagsCounts", "doc"):
+                df = df.drop(column)
         return df
 
     def main_operations(self, **options) -> DataFrame:
@@ -92,7 +102,7 @@ class LogAnalysis:
         return a.transactions(a.transaction_rows(self.documents), self.by_shard)
 
     def ttl_operations(self) -> DataFrame:
-        rows = parsed(self.staged.filter("stage = 'ttl'"))
+        rows = parsed(self.staged.filter("ttl"))
         return a.ttl_operations(rows, prefilter.namespace_filter(get(F.col("doc"), "string", "attr", "namespace"), self.namespaces or []), self.by_shard)
 
     def drivers(self) -> DataFrame:
@@ -132,13 +142,13 @@ class LogAnalysis:
         sinks.write_html(self.sections(), path, title)
 
     def write_ignored_sample(self, path: str) -> None:
-        sinks.write_lines(sinks.ignored_sample(self.staged), path)
+        sinks.write_lines(self._masked(sinks.ignored_sample(self.staged)), path)
 
     def create_views(self) -> None:
-        """log_lines, log_docs, slow_op and a view an analysis, for SQL."""
-        self.staged.createOrReplaceTempView("log_lines")
-        self.documents.createOrReplaceTempView("log_docs")
-        self.operations.createOrReplaceTempView("slow_op")
+        """log_lines, log_docs, slow_op and a view an analysis, for SQL; with ``redact`` log_docs has no document."""
+        self._masked(self.staged).createOrReplaceTempView("log_lines")
+        self._masked(self.documents).createOrReplaceTempView("log_docs")
+        self._masked(self.operations).createOrReplaceTempView("slow_op")
         for name, df in self.sections().items():
             df.createOrReplaceTempView(name)
 

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .documents import get, has, is_object
-from .metrics import derived, micros_to_millis, null_safe_join, percent, planning, quotient, sample_line, total, value_counts, vocabulary
+from .metrics import derived, grouped, micros_to_millis, null_safe_join, percent, planning, quotient, ranked_values, sample_line, total, value_counts, vocabulary
 
 D = "doc"
 SHARD = ["shard", "node"]
@@ -29,7 +29,7 @@ def main_operations(ops: DataFrame, by_shard: bool = False, change_stream_label:
     keys = _keys(["db", "coll", "op", "appName"], by_shard)
     if change_stream_label:
         ops = ops.withColumn("op", F.when(F.col("isChangeStream"), "getMore (change stream)").otherwise(F.col("op")))
-    out = derived(ops.groupBy(*keys).agg(*vocabulary(docs_need_keys=True), F.bool_or("isChangeStream").alias("isChangeStream"), sample_line()))
+    out = derived(grouped(ops, keys, [*vocabulary(docs_need_keys=True), F.bool_or("isChangeStream").alias("isChangeStream"), sample_line()], ranked_values(docs_need_keys=True)))
     mirrored = F.coalesce(F.col("sample").contains('"mirrored":true'), F.lit(False))
     scan = F.coalesce(F.col("sample").contains("COLLSCAN"), F.lit(False)) & ~F.col("isChangeStream") & ~mirrored
     return _ordered(out.withColumn("isMirrored", mirrored).withColumn("hasCollScan", scan), keys)
@@ -83,9 +83,9 @@ def main_summary(main: DataFrame) -> DataFrame:
 
 
 def ttl_operations(staged: DataFrame, namespaces: Column | None = None, by_shard: bool = False) -> DataFrame:
-    """A2: expiry lines by namespace; ``staged`` lines must be parsed."""
+    """A2: expiry lines by namespace, whatever else becomes of them; ``staged`` lines must be parsed."""
     keys = _keys(["ns"], by_shard)
-    rows = staged.filter("stage = 'ttl'").withColumn("ns", get(D, "string", "attr", "namespace")).filter("ns IS NOT NULL AND substring_index(ns, '.', 1) <> 'config'")
+    rows = staged.filter("ttl").withColumn("ns", get(D, "string", "attr", "namespace")).filter("ns IS NOT NULL AND substring_index(ns, '.', 1) <> 'config'")
     if namespaces is not None:
         rows = rows.filter(namespaces)
     rows = rows.withColumn("ms", get(D, "bigint", "attr", "durationMillis")).withColumn("deleted", get(D, "bigint", "attr", "numDeleted"))
@@ -101,11 +101,10 @@ def query_hash(ops: DataFrame, by_shard: bool = False) -> DataFrame:
     at = F.struct("file", "line_no")
     when = lambda c: F.when(F.col(c).isNotNull(), at)
     firsts = [F.max_by("planSummary", when("planSummary")).alias("planSummary"), F.min_by("appName", when("appName")).alias("appName"), F.min_by("sanitizedFilter", when("sanitizedFilter")).alias("sanitizedFilter")]
-    out = derived(rows.groupBy(*keys).agg(*vocabulary(), *planning(), *firsts, sample_line()))
+    out = derived(grouped(rows, keys, [*vocabulary(), *planning(), *firsts, sample_line()], ranked_values(planning=True)))
     out = out.withColumn("replannedPct", percent(F.col("replannedCount"), F.col("count"))).withColumn("multiPlannerPct", percent(F.col("multiPlannerCount"), F.col("count")))
-    for value, name, default in (("readPreference", "readPreferences", "default"), ("readPreferenceTags", "readPreferenceTags", None), ("replanReason", "replanReasons", None)):
-        out = null_safe_join(out, value_counts(rows, keys, F.col(value), name, default), keys)
-    return _ordered(out, keys)
+    values = {"readPreferences": F.coalesce("readPreference", F.lit("default")), "readPreferenceTags": F.col("readPreferenceTags"), "replanReasons": F.col("replanReason")}
+    return _ordered(null_safe_join(out, value_counts(rows, keys, values), keys), keys)
 
 
 def query_hash_top(hashes: DataFrame, n: int = 100) -> DataFrame:
@@ -123,10 +122,10 @@ def plan_cache(ops: DataFrame, by_shard: bool = False) -> DataFrame:
     keys = _keys(["ns", "op", "queryHash", "planSummary"], by_shard)
     rows = ops.filter("planCacheKey IS NOT NULL AND planSummary IS NOT NULL")
     shards = F.count("nShards")
-    out = derived(rows.groupBy(*keys).agg(*vocabulary(), *planning(), F.count_if(F.col("planSummary").contains("COLLSCAN")).alias("collScanCount"), F.max_by("readPreference", F.when(F.col("readPreference").isNotNull(), F.struct("file", "line_no"))).alias("readPreference"), F.when(shards > 0, total("nShards") / shards).otherwise(0.0).alias("meanShards"), sample_line()))
+    out = derived(grouped(rows, keys, [*vocabulary(), *planning(), F.count_if(F.col("planSummary").contains("COLLSCAN")).alias("collScanCount"), F.max_by("readPreference", F.when(F.col("readPreference").isNotNull(), F.struct("file", "line_no"))).alias("readPreference"), F.when(shards > 0, total("nShards") / shards).otherwise(0.0).alias("meanShards"), sample_line()], ranked_values(planning=True)))
     for part, name in (("collScanCount", "collScanPct"), ("replannedCount", "replannedPct"), ("multiPlannerCount", "multiPlannerPct")):
         out = out.withColumn(name, percent(F.col(part), F.col("count")))
-    out = null_safe_join(out, value_counts(rows, keys, F.col("replanReason"), "replanReasons"), keys)
+    out = null_safe_join(out, value_counts(rows, keys, {"replanReasons": F.col("replanReason")}), keys)
     return _ordered(out, keys)
 
 
@@ -204,7 +203,7 @@ def termination_causes(found: DataFrame) -> DataFrame:
 def index_stats(ops: DataFrame, by_shard: bool = False) -> DataFrame:
     """A7."""
     keys = _keys(["ns", "planSummary"], by_shard)
-    out = derived(ops.filter("ns IS NOT NULL AND planSummary IS NOT NULL").groupBy(*keys).agg(*vocabulary()))
+    out = derived(grouped(ops.filter("ns IS NOT NULL AND planSummary IS NOT NULL"), keys, vocabulary(), {"p95Ms": F.col("durationMillis")}))
     out = out.withColumn("examinedReturnedRatio", quotient(F.col("totalKeys") + F.col("totalDocs"), F.col("totalReturned"))).withColumn("isCollScan", F.col("planSummary").contains("COLLSCAN"))
     return _ordered(out.select(*keys, "count", "minMs", "maxMs", "avgMs", "p95Ms", "totalSec", "avgKeys", "avgDocs", "avgReturned", "examinedReturnedRatio", "isCollScan"), keys)
 
@@ -253,7 +252,7 @@ def run_stats(classed: DataFrame) -> DataFrame:
     """One row; ``classed`` holds the lines of every stage, status null where a line wasn't parsed."""
     status, stage = F.col("status"), F.col("stage")
     counts = {"parseErrors": status == "parse_error", "noAttr": status == "no_attr", "noNs": status == "no_ns", "namespaceFiltered": status == "filtered", "foundOps": status == "op"}
-    return classed.agg(F.count("*").alias("linesRead"), F.count_if(stage == "ignored").alias("ignored"), F.count_if(stage == "oversize").alias("oversizeLines"), F.count_if(stage == "ttl").alias("ttlLines"), F.count_if(stage == "kept").alias("processed"), *(F.count_if(F.coalesce((stage == "kept") & c, F.lit(False))).alias(n) for n, c in counts.items()))
+    return classed.agg(F.count("*").alias("linesRead"), F.count_if(stage == "ignored").alias("ignored"), F.count_if(stage == "oversize").alias("oversizeLines"), F.count_if("ttl").alias("ttlLines"), F.count_if(stage == "kept").alias("processed"), *(F.count_if(F.coalesce((stage == "kept") & c, F.lit(False))).alias(n) for n, c in counts.items()))
 
 
 def time_range(docs: DataFrame) -> DataFrame:

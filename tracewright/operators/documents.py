@@ -28,33 +28,31 @@ def kind_of(doc: Column, *keys: str) -> Column:
     return F.schema_of_variant(F.try_variant_get(doc, path(*keys), "variant"))
 
 
-def text_of(doc: Column, *keys: str) -> Column:
-    """A value that is a string; null for numbers and containers."""
-    return F.when(kind_of(doc, *keys) == "STRING", get(doc, "string", *keys))
+def is_text(value: Column) -> Column:
+    """Of a small VARIANT: it is a string."""
+    return F.coalesce(F.schema_of_variant(value) == "STRING", F.lit(False))
 
 
 def is_object(doc: Column, *keys: str) -> Column:
-    return F.coalesce(kind_of(doc, *keys).startswith("OBJECT"), F.lit(False))
-
-
-def is_array(doc: Column, *keys: str) -> Column:
-    return F.coalesce(kind_of(doc, *keys).startswith("ARRAY"), F.lit(False))
+    return get(doc, "struct<_:variant>", *keys).isNotNull()
 
 
 def once(column: Column) -> Column:
     """A column that is evaluated once a row.
 
-    The optimizer would copy it into every expression and filter above; it doesn't copy what it takes for not
-    deterministic, and this is, though its value never changes.
+    The optimizer would copy it into every filter above; it doesn't copy what it takes for not deterministic, and
+    this is, though its value never changes.  Columns that nobody reads are pruned all the same.  (A plain comparison of
+    a random number with a constant would be folded, hence the sum.)
     """
-    return F.when(F.rand(0) >= 0, column)
+    return F.when(F.rand(0) + 1 > 0, column)
 
 
 def staged(lines: DataFrame, rules: FilterRules | None = None) -> DataFrame:
-    """Adds stage: oversize, ttl, ignored, or kept."""
+    """Adds stage (oversize, ignored, or kept) and ttl, which is apart from it: an expiry line may be noise or not."""
     value = F.col("value")
-    stage = F.when(prefilter.oversize(value), "oversize").when(prefilter.ttl_line(value), "ttl").when(prefilter.kept(value, rules or FilterRules()), "kept").otherwise("ignored")
-    return lines.withColumn("stage", stage)
+    long = prefilter.oversize(value)
+    stage = F.when(long, "oversize").when(prefilter.kept(value, rules or FilterRules()), "kept").otherwise("ignored")
+    return lines.withColumn("stage", stage).withColumn("ttl", ~long & prefilter.ttl_line(value))
 
 
 def parsed(lines: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ def micros_to_millis(x: Column) -> Column:
 
 
 def p95(name: str | Column, p: float = 0.95) -> Column:
-    """Type-6 percentile as an aggregate over a sorted list; 0.0 without values."""
+    """Type-6 percentile as an aggregate over a sorted list, for groups of a bounded size; 0.0 without values."""
     a = F.sort_array(F.collect_list(name))
     n = F.size(a)
     at = p * (n + 1)
@@ -42,22 +42,42 @@ def p95(name: str | Column, p: float = 0.95) -> Column:
     return F.when(n == 0, 0.0).when(at < 1, F.get(a, F.lit(0)).cast("double")).when(at >= n, F.get(a, n - 1).cast("double")).otherwise(low + (at - k) * (high - low))
 
 
-def ranked_p95(rows: DataFrame, keys: list[str], name: str, out: str, p: float = 0.95) -> DataFrame:
-    """The same percentile for groups of any size, without collecting a group.
+def ranked(rows: DataFrame, keys: list[str], values: dict[str, Column], p: float = 0.95) -> DataFrame:
+    """Type-6 percentiles of several values by name, of groups of any size, in one pass over the rows.
 
-    Equal values are counted first, so that a window over a group's distinct values finds the two ranks
-    that are needed; sums of counts run over value ranges of which no task needs all rows in memory.
+    Equal values are counted first, before the shuffle as far as tasks hold them, so a group is as large as its
+    different values; a window adds the counts up along them, and the two values at the wanted ranks are picked.
     """
-    counted = rows.filter(F.col(name).isNotNull()).groupBy(*keys, name).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(name)
-    ends = counted.withColumn("last", F.sum("c").over(w)).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), v.cast("long").alias("v")) for i, v in enumerate(values.values())))
+    spread = rows.select(*keys, F.explode(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("x"))
+    counted = spread.groupBy(*keys, F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count("*").alias("c"))
+    w = Window.partitionBy(*keys, "i")
+    ends = counted.withColumn("last", F.sum("c").over(w.orderBy("v"))).withColumn("n", F.sum("c").over(w))
     at = p * (F.col("n") + 1)
     k = F.greatest(F.lit(1), F.least(F.floor(at), F.col("n")))
-    k2 = F.least(k + 1, F.col("n"))
     holds = lambda rank: (F.col("last") >= rank) & (F.col("last") - F.col("c") < rank)
-    picked = ends.groupBy(*keys).agg(F.max("n").alias("n"), F.max(F.when(holds(k), F.col(name))).cast("double").alias("low"), F.max(F.when(holds(k2), F.col(name))).cast("double").alias("high"))
-    value = F.when((at < 1) | (at >= F.col("n")), F.col("low")).otherwise(F.col("low") + (at - F.floor(at)) * (F.col("high") - F.col("low")))
-    return picked.select(*keys, value.alias(out))
+    ends = ends.withColumn("low", F.when(holds(k), F.col("v"))).withColumn("high", F.when(holds(F.least(k + 1, F.col("n"))), F.col("v")))
+    of = lambda i, c: F.max(F.when(F.col("i") == i, F.col(c)))
+    picked = ends.groupBy(*keys).agg(*(of(i, c).alias(f"{c}{i}") for i in range(len(values)) for c in ("n", "low", "high")))
+
+    def between(i: int) -> Column:
+        n, low, high = (F.col(f"{c}{i}") for c in ("n", "low", "high"))
+        at = p * (n + 1)
+        inside = low + (at - F.floor(at)) * (high - low)
+        return F.coalesce(F.when((at < 1) | (at >= n), low.cast("double")).otherwise(inside), F.lit(0.0))
+
+    return picked.select(*keys, *(between(i).alias(name) for i, name in enumerate(values)))
+
+
+def grouped(rows: DataFrame, keys: list[str], aggregates: list[Column], percentiles: dict[str, Column]) -> DataFrame:
+    """Rows grouped by keys, of which null is a value, with aggregates and percentiles; rows are read twice."""
+    out = null_safe_join(rows.groupBy(*keys).agg(*aggregates), ranked(rows, keys, percentiles), keys)
+    return out.fillna(0.0, [*percentiles])
+
+
+def ranked_p95(rows: DataFrame, keys: list[str], name: str, out: str, p: float = 0.95) -> DataFrame:
+    """One percentile of the groups that have a value."""
+    return ranked(rows.filter(F.col(name).isNotNull()), keys, {out: F.col(name)}, p)
 
 
 def sample_line() -> Column:
@@ -66,19 +86,26 @@ def sample_line() -> Column:
     return F.coalesce(F.max_by(F.when(F.col("durationMillis").isNotNull(), F.col("line")), F.when(F.col("durationMillis").isNotNull(), at)), F.min_by("line", F.struct("file", "line_no"))).alias("sample")
 
 
+def _docs(need_keys: bool) -> Column:
+    return F.when(F.col("keysExamined").isNotNull(), F.col("docsExamined")) if need_keys else F.col("docsExamined")
+
+
+def ranked_values(docs_need_keys: bool = False, planning: bool = False) -> dict[str, Column]:
+    """The values of which percentiles are taken; planning times in microseconds."""
+    found = {"p95Ms": F.col("durationMillis"), "p95Keys": F.col("keysExamined"), "p95Docs": _docs(docs_need_keys)}
+    return found | ({"p95PlanMicros": F.col("planningTimeMicros")} if planning else {})
+
+
 def vocabulary(docs_need_keys: bool = False) -> list[Column]:
     """Aggregates from which ``derived`` makes the metrics."""
-    docs = F.when(F.col("keysExamined").isNotNull(), F.col("docsExamined")) if docs_need_keys else F.col("docsExamined")
+    docs = _docs(docs_need_keys)
     return [
         F.count("durationMillis").alias("count"),
         F.coalesce(F.min("durationMillis"), F.lit(0).cast("long")).alias("minMs"),
         F.coalesce(F.max("durationMillis"), F.lit(0).cast("long")).alias("maxMs"),
         total("durationMillis").alias("totalMs"),
-        p95("durationMillis").alias("p95Ms"),
         total("keysExamined").alias("totalKeys"),
         F.coalesce(F.sum(docs), F.lit(0).cast("long")).alias("totalDocs"),
-        p95("keysExamined").alias("p95Keys"),
-        p95(docs).alias("p95Docs"),
         total("nreturned").alias("totalReturned"),
         total("nShards").alias("totalShards"),
         total("reslen").alias("totalReslen"),
@@ -108,17 +135,18 @@ def derived(grouped: DataFrame) -> DataFrame:
         "avgBytesWritten": quotient(F.col("totalBytesWritten"), N),
         "avgWriteConflicts": quotient(F.col("totalWriteConflicts"), N),
     }
-    return grouped.withColumns(made)
+    if "p95PlanMicros" in grouped.columns:
+        made["p95PlanMs"] = F.col("p95PlanMicros") / 1000.0
+    return grouped.withColumns(made).drop("p95PlanMicros")
 
 
 def planning() -> list[Column]:
-    """Planning times: milliseconds rounded, the percentile in microseconds over 1000."""
+    """Planning times: milliseconds rounded."""
     m = "planningTimeMicros"
     return [
         F.coalesce(micros_to_millis(F.min(m)), F.lit(0).cast("long")).alias("minPlanMs"),
         F.coalesce(micros_to_millis(F.max(m)), F.lit(0).cast("long")).alias("maxPlanMs"),
         F.coalesce(micros_to_millis(_div(F.sum(m), F.count(m))), F.lit(0).cast("long")).alias("avgPlanMs"),
-        (p95(m) / 1000.0).alias("p95PlanMs"),
         F.count_if("replanned").alias("replannedCount"),
         F.count_if("fromMultiPlanner").alias("multiPlannerCount"),
     ]
@@ -128,15 +156,21 @@ def percent(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, part * 100.0 / whole).otherwise(0.0)
 
 
-def value_counts(rows: DataFrame, keys: list[str], value: Column, out: str, default: str | None = None) -> DataFrame:
-    """Per key: counts by value as a map, the summary ``v: n<br>...`` in falling order, and the commonest."""
-    v = F.coalesce(value, F.lit(default)) if default is not None else value
-    counted = rows.withColumn("v", v).filter("v IS NOT NULL").groupBy(*keys, "v").agg(F.count("*").alias("c"))
-    listed = F.array_sort(F.collect_list(F.struct((-F.col("c")).alias("c"), "v")))
-    grouped = counted.groupBy(*keys).agg(listed.alias("l"))
-    shown = F.array_join(F.transform("l", lambda e: F.concat(e["v"], F.lit(": "), F.format_number(-e["c"], 0))), "<br>")
-    counts = F.map_from_entries(F.transform("l", lambda e: F.struct(e["v"].alias("k"), (-e["c"]).alias("n"))))
-    return grouped.select(*keys, counts.alias(f"{out}Counts"), shown.alias(out), F.get("l", F.lit(0))["v"].alias(f"top{out[0].upper()}{out[1:]}"))
+def value_counts(rows: DataFrame, keys: list[str], values: dict[str, Column]) -> DataFrame:
+    """Per key and named value, in one pass: counts by value as a map, the summary ``v: n<br>...`` in falling order, and the commonest."""
+    pairs = F.array(*(F.struct(F.lit(i).alias("i"), v.alias("v")) for i, v in enumerate(values.values())))
+    spread = rows.select(*keys, F.explode(F.filter(pairs, lambda x: x["v"].isNotNull())).alias("x"))
+    counted = spread.groupBy(*keys, F.col("x.i").alias("i"), F.col("x.v").alias("v")).agg(F.count("*").alias("c"))
+    # one entry for each different value of a group
+    entries = lambda i: F.array_sort(F.collect_list(F.when(F.col("i") == i, F.struct((-F.col("c")).alias("c"), "v"))))
+    out = counted.groupBy(*keys).agg(*(entries(i).alias(f"l{i}") for i in range(len(values))))
+    made = []
+    for i, name in enumerate(values):
+        some = F.when(F.size(f"l{i}") > 0, F.col(f"l{i}"))
+        counts = F.map_from_entries(F.transform(some, lambda e: F.struct(e["v"].alias("k"), (-e["c"]).alias("n"))))
+        shown = F.array_join(F.transform(some, lambda e: F.concat(e["v"], F.lit(": "), F.format_number(-e["c"], 0))), "<br>")
+        made += [counts.alias(f"{name}Counts"), shown.alias(name), F.get(some, F.lit(0))["v"].alias(f"top{name[0].upper()}{name[1:]}")]
+    return out.select(*keys, *made)
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "left") -> DataFrame:

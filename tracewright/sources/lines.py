@@ -1,4 +1,4 @@
-"""Log files as rows: file, line_no, value, shard and node.
+"""Log files as rows: file (its whole path, so that files of one name stay apart), line_no, value, shard and node.
 
 Plain and gzip files are read by the text source, zip files by unpacking their members on the executors.  A path
 that doesn't exist is skipped and reported.  ``line_no`` grows along a file: it is made from the byte at
@@ -11,13 +11,14 @@ from __future__ import annotations
 import gzip
 import io
 import sys
-import tempfile
 import zipfile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..scratch import file_system, new_folder
+
 #: Lines of so many characters or more are passed over and counted.
 LONGEST = 1 << 20
 GREP_PREFIX = r'^[^:{]*:(?=\{"t":)'
@@ -44,9 +45,14 @@ def strip_prefix(value: Column) -> Column:
     return F.regexp_replace(value, GREP_PREFIX, "")
 
 
+def base_name(file: Column) -> Column:
+    return F.substring_index(file, "/", -1)
+
+
 def with_shard(lines: DataFrame) -> DataFrame:
     """shard and node from the file's name, null without a match."""
-    number = lambda k: F.when(F.regexp_extract("file", SHARD, k) != "", F.regexp_extract("file", SHARD, k))
+    found = lambda k: F.regexp_extract(base_name(F.col("file")), SHARD, k)
+    number = lambda k: F.when(found(k) != "", found(k))
     return lines.withColumn("shard", number(1)).withColumn("node", number(2))
 
 
@@ -59,7 +65,7 @@ def _zipped(spark: SparkSession, paths: list[str]) -> DataFrame:
                     for member in archive.namelist():
                         if member.endswith("/"):
                             continue
-                        file, n = f"{path.rsplit('/', 1)[-1]}!{member}", 0
+                        file, n = f"{path}!{member}", 0
                         with archive.open(member) as raw:
                             stream = gzip.GzipFile(fileobj=raw) if member.endswith(".gz") else raw
                             for line in io.TextIOWrapper(stream, encoding="utf-8", errors="replace", newline=None):
@@ -88,7 +94,7 @@ def read_lines(spark: SparkSession, paths: list[str], line_limit: int | None = N
     if plain:
         # fewer rows than bytes fit between two splits of a file, so the sum grows along it
         at = F.col("_metadata.file_block_start") * 4 + F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
-        text = spark.read.text(plain).select(F.col("_metadata.file_name").alias("file"), at.alias("line_no"), "value")
+        text = spark.read.text(plain).select(F.col("_metadata.file_path").alias("file"), at.alias("line_no"), "value")
         lines = text if not zips else text.unionByName(_zipped(spark, zips))
     elif zips:
         lines = _zipped(spark, zips)
@@ -102,8 +108,13 @@ def read_lines(spark: SparkSession, paths: list[str], line_limit: int | None = N
 
 
 def read_stdin(spark: SparkSession, stream=None) -> tuple[DataFrame, list[str]]:
-    """Standard input by way of a file of the driver; for a driver that shares its files with executors."""
-    with tempfile.NamedTemporaryFile("w", suffix=".log", delete=False, encoding="utf-8") as file:
-        for line in stream or sys.stdin:
-            file.write(line)
-    return read_lines(spark, [f"file://{file.name}"])
+    """Standard input by way of a file in the shared folder, written piece by piece."""
+    path = f"{new_folder(spark, 'input')}.log"
+    system, where = file_system(spark, path)
+    out = system.create(where)
+    try:
+        for piece in iter(lambda: (stream or sys.stdin).read(1 << 20), ""):
+            out.write(bytearray(piece.encode()))
+    finally:
+        out.close()
+    return read_lines(spark, [path])
