@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer, models
 
+from .common import in_arrow
+
 #: Texts that are their own normal form once in lower case, and the pre-tokenizer's pattern for them.
 LATIN = re.compile(r"[!-~\xa1-\xff]+")
 LATIN_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zªµºß-öø-ÿ]+|[0-9²³¹¼½¾]|[^a-zªµºß-öø-ÿ0-9²³¹¼½¾]+")
@@ -174,7 +176,7 @@ def bpe_digests(documents: DataFrame, path: str, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(rows, run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def bpe_ids(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -187,4 +189,4 @@ def bpe_ids(documents: DataFrame, path: str, key: str = "doc_id", text: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     rows = documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, ids array<int>")
+    return in_arrow(rows, run, "doc_id long, ids array<int>")

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import in_arrow, partitions_for
 
 # Fixed values of the template.
 START, STOP = "<|im_start|>", "<|im_end|>"
@@ -147,7 +147,7 @@ def chat_packs(turns: DataFrame, partitions: int | None = None) -> DataFrame:
             yield pack()
 
     span = pa.struct([("start", pa.int32()), ("end", pa.int32())])
-    return ordered.select("conv_id", "rows").mapInArrow(run, PACK)
+    return in_arrow(ordered.select("conv_id", "rows"), run, PACK)
 
 
 DIGEST = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
@@ -168,4 +168,4 @@ def chat_digests(packs: DataFrame) -> DataFrame:
                 kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], [f.split()[0] for f in DIGEST.split(", ")])
 
-    return packs.mapInArrow(run, DIGEST)
+    return in_arrow(packs, run, DIGEST)

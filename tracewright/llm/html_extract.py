@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 # Element names of HTML by role, and words that mark elements which aren't the article.
 HIDDEN = frozenset("script style noscript template iframe object svg math canvas audio video select textarea button title".split())
 RAW = frozenset(("script", "style"))
@@ -185,7 +187,7 @@ def fit_weights(pages: DataFrame, html: str = "html", key: str = "page_id", most
             columns = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.bool_(), pa.int64()))], ["feature", "inside", "n"])
 
-    counted = sample.mapInArrow(run, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
+    counted = in_arrow(sample, run, "feature string, inside boolean, n long").groupBy("feature", "inside").agg(F.sum("n").alias("n"))
     return weights_of(Counter({(r.feature, r.inside): r.n for r in counted.collect()}))  # a few rows a tag name
 
 
@@ -198,4 +200,4 @@ def extract_pages(pages: DataFrame, weights: dict[str, float]) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     kind = pages.schema["page_id"].dataType.simpleString()
-    return pages.select("page_id", "url", "html").mapInArrow(run, f"page_id {kind}, url string, text string, n_chars long")
+    return in_arrow(pages.select("page_id", "url", "html"), run, f"page_id {kind}, url string, text string, n_chars long")

@@ -15,9 +15,14 @@ Within a family overlap counts are a sparse matrix product, blocks of columns at
 that their sizes set are discarded, and of the links a task returns a spanning forest only.  Large families are
 dealt as pairs of blocks of documents.  Components of the forests are the classes.
 
+Shingles are compared by 64-bit hashes of their words' hashes; a range keeps all of them up to 2**36 incidences'
+worth of ranges, and 48 bits below a range's number before that.
+
 Defined results: texts that are null or hold no word have an empty set and stay alone; texts of fewer words than
-a shingle have one shingle, the whole; rows without doc_id take no part and have no class; rows of one
-doc_id are taken for the same node.
+a shingle have one shingle, the whole; rows without doc_id take no part and have no class (null); rows of one
+doc_id are one node, to which all of their texts belong, and each has its own n_shingles; an empty table gives
+no rows; other columns, whatever their names, are neither read nor returned.  ``deduplicated`` keeps of a doc_id
+with several rows the one whose text is the smallest.
 """
 
 from __future__ import annotations
@@ -30,13 +35,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, partitions_for
+from .common import checkpointed, in_arrow, partitions_for
 
 WORDS, PERCENT = 5, 75
 #: Bounds of a packed batch: documents and bytes of text.
 BATCH_DOCUMENTS, BATCH_BYTES = 16_384, 6 << 20
-#: Incidences in one range of hashes, and bits of a hash that are kept below its range.
-RANGE, LOW_BITS = 1 << 20, 48
+#: Incidences in one range of hashes, and bits of a hash that are kept below its range at most.
+RANGE, LOW_BITS, LEAST_RANGE_BITS = 1 << 20, 48, 4
 #: A shingle is listed by a batch if one in so many of its documents holds it, and is frequent if one in so many of all do.
 LOCAL, FREQUENT, LEAST = 50, 100, 64
 #: Members of a family that one task compares at once, members of a block of a larger one, and members of a task.
@@ -123,7 +128,7 @@ def describe(documents: DataFrame) -> DataFrame:
                 frequent = np.c_[values[many], counts[many].astype(np.uint64)].tobytes()
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(map(len, sets), pa.int64()), pa.array(digests, pa.binary()), pa.array([frequent] + [None] * (len(ids) - 1), pa.binary())], ["doc_id", "n", "digest", "frequent"])
 
-    return _texts(documents).mapInArrow(run, "doc_id long, n long, digest binary, frequent binary")
+    return in_arrow(_texts(documents), run, "doc_id long, n long, digest binary, frequent binary")
 
 
 def frequent_shingles(described: DataFrame, documents: int) -> np.ndarray:
@@ -138,7 +143,7 @@ def frequent_shingles(described: DataFrame, documents: int) -> np.ndarray:
                 pairs = np.frombuffer(data, np.uint64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].view(np.int64)), pa.array(pairs[:, 1].astype(np.int64))], ["h", "n"])
 
-    lists = described.select("frequent").filter("length(frequent) > 0").mapInArrow(run, "h long, n long")
+    lists = in_arrow(described.select("frequent").filter("length(frequent) > 0"), run, "h long, n long")
     sums = lists.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= max(LEAST, documents // FREQUENT))
     rows = sorted((r.n, r.h) for r in sums.collect())
     return np.array([(np.int64(h).view(np.uint64), n) for n, h in rows], np.uint64).reshape(-1, 2)
@@ -161,9 +166,11 @@ def partners(documents: DataFrame, described: DataFrame) -> DataFrame:
     """Rows that may have a partner: doc_id, n, digest, rare (its rarest shared shingles) and ids (all shared ones)."""
     rows, total = described.agg(F.count("*"), F.sum("n")).first()
     frequent = frequent_shingles(described, rows)
-    bits = max(4, ((total or 0) // RANGE).bit_length())
+    bits = max(LEAST_RANGE_BITS, ((total or 0) // RANGE).bit_length())
     ranges = 1 << bits
-    cut = np.uint64(64 - bits - LOW_BITS)
+    # from 2**16 ranges on, a range's number leaves less than LOW_BITS of a hash, and all of them are kept
+    low_bits = min(LOW_BITS, 64 - bits)
+    cut = np.uint64(64 - bits - low_bits)
     sent = documents.sparkSession.sparkContext.broadcast(frequent)
     memo = _Words()
 
@@ -176,7 +183,9 @@ def partners(documents: DataFrame, described: DataFrame) -> DataFrame:
             sets: dict[bytes, tuple[int, np.ndarray]] = {}
             for i, own in zip(ids, shingle_sets(texts, memo)):
                 if i is not None and len(own):
-                    sets.setdefault(_digest(own), (i, own))
+                    digest = _digest(own)
+                    if digest not in sets or i < sets[digest][0]:
+                        sets[digest] = i, own
             if not sets:
                 continue
             number += 1
@@ -191,9 +200,9 @@ def partners(documents: DataFrame, described: DataFrame) -> DataFrame:
             flat, index = flat[~common], index[~common]
             sort = np.argsort(flat)
             flat, index = flat[sort] >> cut, index[sort]
-            part = flat >> np.uint64(LOW_BITS)
+            part = flat >> np.uint64(low_bits)
             edges = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]).tolist() + [len(flat)] if len(flat) else [0]
-            low = flat & np.uint64((1 << LOW_BITS) - 1)
+            low = flat & np.uint64((1 << low_bits) - 1)
             for a, b in zip(edges, edges[1:]):
                 out.append((int(part[a]), number, 0, _pack(low[a:b], index[a:b])))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary()))], names)
@@ -215,7 +224,7 @@ def partners(documents: DataFrame, described: DataFrame) -> DataFrame:
                 own = often[at : at + n]
                 at += n
                 if (shared := own > 1).any():
-                    ids = v[shared] | np.uint64(key << LOW_BITS)
+                    ids = v[shared] | np.uint64(key << low_bits)
                     out.append((b, 0, ids.tobytes() + i[shared].astype(np.uint32).tobytes() + own[shared].astype(np.uint32).tobytes()))
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [(), (), ()], kinds)], names)
 
@@ -248,7 +257,7 @@ def partners(documents: DataFrame, described: DataFrame) -> DataFrame:
         kinds = (pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.binary())
         return pa.table([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "n", "digest", "rare", "ids"])
 
-    dealt = _texts(documents).mapInArrow(deal, "key long, batch long, kind int, data binary")
+    dealt = in_arrow(_texts(documents), deal, "key long, batch long, kind int, data binary")
     counted = dealt.repartition(min(ranges, partitions_for(total, 4 * RANGE)), "key").groupBy("key").applyInArrow(count, "batch long, kind int, data binary")
     return counted.groupBy("batch").applyInArrow(select, "doc_id long, n long, digest binary, rare array<long>, ids binary")
 
@@ -310,19 +319,32 @@ def forest(linked: np.ndarray) -> np.ndarray:
         labels = new
 
 
+def _repeated_ids(described: DataFrame, stands: DataFrame) -> DataFrame | None:
+    """Edges from each doc_id with several different sets to the representatives of these; none if there is no such id."""
+    held = described.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "digest")
+    several = checkpointed(held.groupBy("doc_id").agg(F.min("digest").alias("one"), F.max("digest").alias("other")).filter("one <> other").select("doc_id"))
+    if several.isEmpty():
+        return None
+    return held.join(several, "doc_id", "left_semi").join(stands, "digest").select(F.col("doc_id").alias("a"), F.col("rep").alias("b")).distinct()
+
+
 def jaccard_classes(documents: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     described = checkpointed(describe(documents))
-    stands = described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    alike = partners(documents, described).join(stands, "digest").dropDuplicates(["rep"]).select("rep", "n", "rare", "ids")
-    alike = checkpointed(alike)
+    # a stage of its own, so that the join below can split what a crowd of copies sends to one task
+    stands = checkpointed(described.filter("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep")))
+    # of a batch's copies the one of the smallest id comes here, so a crowd of copies meets its representative by both keys
+    alike = partners(documents, described).withColumnRenamed("doc_id", "rep").join(stands, ["digest", "rep"], "left_semi").dropDuplicates(["digest", "rep"])
+    alike = checkpointed(alike.select("rep", "n", "rare", "ids"))
     held = alike.select("rep", F.explode("rare").alias("shingle"))
     stars = held.groupBy("shingle").agg(F.min("rep").alias("star"), F.count("*").alias("c")).filter("c > 1")
-    edges = held.join(stars, "shingle").filter("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct()
+    edges = held.join(checkpointed(stars), "shingle").filter("rep <> star").select(F.col("rep").alias("a"), F.col("star").alias("b")).distinct()
     families = connected_components(edges)
-    sizes = families.groupBy("component").agg(F.count("*").alias("members"))
-    members = alike.join(families.join(sizes, "component"), F.col("rep") == F.col("node")).select("rep", "n", "ids", F.col("component").alias("family"), "members")
-    tasks = partitions_for(families.count(), TASK)
+    # texts of one doc_id share their rep and so their family
+    joined = checkpointed(alike.select("rep", "n", "ids").join(families, F.col("rep") == F.col("node")).select("rep", "n", "ids", F.col("component").alias("family")))
+    sizes = joined.groupBy("family").agg(F.count("*").alias("members"))
+    members = joined.join(sizes, "family")
+    tasks = partitions_for(joined.count(), TASK)
     blocks = F.ceil(F.col("members") / BLOCK).cast("long")
     small = F.col("members") <= SMALL
     placed = members.withColumn("block", F.when(small, F.lit(0).cast("long")).otherwise(F.pmod(F.xxhash64("rep"), blocks)))
@@ -349,14 +371,25 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
         return pa.table([pa.array(x, pa.int64()) for x in both], ["a", "b"])
 
     found = spread.groupBy("task", "low", "high").applyInArrow(compare, "a long, b long")
-    classes = connected_components(found)
-    rows = described.join(stands, "digest", "left")
-    return rows.join(classes, rows["rep"] == classes["node"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
+    several = _repeated_ids(described, stands)
+    classes = connected_components(found if several is None else found.unionByName(several))
+    of_sets = checkpointed(stands.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class")))
+    rows = described.join(of_sets, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    if several is None:
+        return rows
+    # an empty text of such a doc_id belongs to its node as well
+    ids = classes.join(several.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select(F.col("node").alias("doc_id"), "component")
+    return rows.join(ids, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component", "component_id").alias("component_id"))
 
 
 def deduplicated(documents: DataFrame) -> DataFrame:
     """One row of each class, the one of the smallest doc_id; rows without doc_id stay."""
-    classes = jaccard_classes(documents)
-    stay = classes.filter("doc_id = component_id").select(F.col("doc_id").alias("kept")).distinct()
-    joined = documents.join(stay, documents["doc_id"] == stay["kept"], "left_semi").dropDuplicates(["doc_id"])
-    return joined.unionByName(documents.filter("doc_id IS NULL"))
+    stay = jaccard_classes(documents).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("__stay")).agg(F.count("*").alias("__rows"))
+    stay = checkpointed(stay)
+    key = documents["doc_id"].cast("long")
+    whole = documents.join(stay.filter("__rows = 1").select("__stay"), key == F.col("__stay"), "left_semi").unionByName(documents.filter(key.isNull()))
+    if stay.filter("__rows > 1").isEmpty():
+        return whole
+    several = documents.join(stay.filter("__rows > 1").select("__stay"), key == F.col("__stay"), "left_semi")
+    first = several.groupBy(F.col("doc_id").alias("__stay")).agg(F.min_by(F.struct(*documents.columns), F.struct(F.col("text").isNull(), "text")).alias("__row"))
+    return whole.unionByName(first.select("__row.*"))

@@ -1,8 +1,4 @@
-"""Bounded samples of labelled rows, for fitting classifiers.
-
-Ids are chosen first, by a hash, from ids and labels alone; the chosen ids, at most a documented number, are
-then broadcast, so that no text is shuffled.
-"""
+"""Labelled rows, for fitting classifiers."""
 
 from __future__ import annotations
 
@@ -10,6 +6,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 
 def fold(key: str, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``."""
@@ -21,9 +19,8 @@ def chosen(ids: DataFrame, most: int) -> DataFrame:
     return ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
 
 
-def rows_of(documents: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents of at most some thousand ids, each text once."""
-    return documents.select("doc_id", "text").join(F.broadcast(ids.dropDuplicates(["doc_id"])), "doc_id").dropDuplicates(["text"])
+def text_key() -> Column:
+    return F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
 
 
 def mapped(rows: DataFrame, function, schema: str, kinds: dict[str, pa.DataType]) -> DataFrame:
@@ -35,4 +32,4 @@ def mapped(rows: DataFrame, function, schema: str, kinds: dict[str, pa.DataType]
             columns = list(zip(*out)) if out else [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
 
-    return rows.mapInArrow(run, schema)
+    return in_arrow(rows, run, schema)

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import in_arrow
+
 # Fixed values of the TIFF 6.0 format.
 TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS = 273, 277, 278, 279
@@ -278,7 +280,7 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], ["key", "page", "height", "width", "pixels", "error"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(F.col(key).alias("key"), F.col(media).alias("media")).mapInArrow(run, f"key {kind}, page int, height int, width int, pixels binary, error string")
+    return in_arrow(df.select(F.col(key).alias("key"), F.col(media).alias("media")), run, f"key {kind}, page int, height int, width int, pixels binary, error string")
 
 
 def payload_of(text: str | None, row: int = ROW) -> tuple[int, bytes]:
@@ -311,7 +313,7 @@ def text_media(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
                 media.append(encode_tiff(payload))
             yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    return documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return in_arrow(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
@@ -328,4 +330,4 @@ def media_digests(media: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in DIGEST.split(", ")])
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, DIGEST)
+    return in_arrow(media.select("doc_id", "n_bytes", "media"), run, DIGEST)

@@ -1,12 +1,17 @@
 """Quality by positive-unlabelled learning.
 
 Trusted positives and unlabelled texts fit a small network under the non-negative unbiased risk
-``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with logistic loss.  The prior is the share of positives among
-labelled rows, with one of each kind added.  A last scaling, fitted on labelled training rows, makes scores comparable with
-a fixed threshold.  Inputs are shapes of the text alone.
-
-Defined results: a null text is an empty one; with no positive or no unlabelled rows every score is the
-prior; sampled rows are bounded by POSITIVES, UNLABELLED and SCALING.
+``prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`` with logistic loss.  The class prior is estimated from these two kinds
+of texts alone (see ``estimated_prior``); labelled negatives take no part in it, nor in the risk.  They serve, with labelled
+positives, a last scaling of the network's output by two numbers, which makes scores comparable with a fixed threshold.
+Inputs are shapes of the text alone.
+
+Defined results: a null text is an empty one; where labels cover every document all documents are the unlabelled ones;
+with no positive or no unlabelled rows every score is the prior, and ``kept_documents`` keeps all; equal texts are
+fitted on once, in every role that one of them has, as quality 1 if any is labelled so; repeated rows are scored each for
+itself; a null doc_id is in no fold; an empty table gives no rows; texts are read whole, however long; other columns,
+whatever their names, are kept by ``kept_documents`` and not read.  Sampled rows are bounded by POSITIVES, UNLABELLED and
+SCALING.
 """
 
 from __future__ import annotations
@@ -19,13 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import chosen, fold, mapped, rows_of
+from .common import checkpointed, in_arrow
+from .labelled import chosen, fold, mapped, text_key
 
 #: Rows that are fitted on, at most.
 POSITIVES, UNLABELLED, SCALING = 3000, 6000, 3000
 FOLDS, HELD_OUT, THRESHOLD = 4, 2, 0.7
 SYMBOLS = re.compile(r"[^\w\s]{2,}")
 LETTERS = re.compile(r"[^\W\d_]+")
+ALNUM = re.compile(r"[^\W_]")
 FEATURES = 12
 
 
@@ -40,7 +47,7 @@ def features(text: str | None) -> list[float]:
     lower = text.lower()
     upper = sum(map(str.isupper, words))
     twice = sum(a == b for a, b in zip(words, words[1:]))
-    lone = sum(not any(map(str.isalnum, w)) for w in counts.elements()) if len(counts) < 50 or any(len(w) == 1 for w in counts) else 0
+    lone = sum(k for w, k in counts.items() if not ALNUM.search(w))
     lines = text.split("\n")
     return [
         np.log1p(n) / 10,
@@ -126,32 +133,62 @@ def scaling(x: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None,
     return tuple(w.tolist())
 
 
+def estimated_prior(positive: np.ndarray, unlabelled: np.ndarray, least: float = 0.5) -> float:
+    """The share of positives among unlabelled rows, from the features of both.
+
+    Above any score the unlabelled rows hold at least that share of the positives' part, so the smallest ratio of the two
+    parts is the share or more; a deviation of each part is allowed for, and parts below ``least`` of the positives, where
+    few rows decide, aren't asked.  Rows are scored by a network that was fitted on the others, two halves in turn.
+    """
+    found = []
+    random = np.random.default_rng(7)
+    positive, unlabelled = (x[random.permutation(len(x))] for x in (positive, unlabelled))
+    for half in (0, 1):
+        model = Network()
+        model.fit(positive[half::2], unlabelled[half::2], 0.5, rounds=150)
+        p, u = np.sort(model.raw(positive[1 - half :: 2])), np.sort(model.raw(unlabelled[1 - half :: 2]))
+        if not len(p) or not len(u):
+            continue
+        cuts = np.r_[p, u]
+        p_above, u_above = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+        spread = lambda x, n: np.sqrt(x * (1 - x) / n) + 0.5 / n
+        ratio = (u_above + spread(u_above, len(u))) / np.maximum(p_above - spread(p_above, len(p)), 1e-9)
+        found.append(ratio[p_above >= least].min(initial=1.0))
+    return float(np.clip(np.mean(found or [0.5]), 0.02, 0.98))
+
+
 def fit(documents: DataFrame, labels: DataFrame) -> tuple[Network | None, float]:
     """The model, or none, and the class prior, from the training folds of the labels."""
-    known = labels.filter("doc_id IS NOT NULL AND quality IS NOT NULL").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    known = labels.filter("doc_id IS NOT NULL AND quality IN (0, 1)").groupBy("doc_id").agg(F.max("quality").cast("int").alias("quality"))
     train = known.filter(fold("doc_id", FOLDS) != HELD_OUT)
     totals = {r.quality: r["count"] for r in train.groupBy("quality").count().collect()}
-    prior = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
-    free = documents.select("doc_id").filter("doc_id IS NOT NULL").join(labels.select("doc_id"), "doc_id", "left_anti")
+    share = (totals.get(1, 0) + 1) / (sum(totals.values()) + 2)
+    every = documents.select("doc_id").filter("doc_id IS NOT NULL")
+    free = every.join(labels.select("doc_id"), "doc_id", "left_anti")
+    if free.isEmpty():
+        free = every
     parts = {"p": chosen(train.filter("quality = 1").select("doc_id"), POSITIVES), "u": chosen(free, UNLABELLED), "s": chosen(train.select("doc_id", "quality"), SCALING)}
     ids = None
     for kind, part in parts.items():
         part = part.select("doc_id", F.lit(kind).alias("kind"), F.col("quality") if kind == "s" else F.lit(-1).alias("quality"))
         ids = part if ids is None else ids.unionByName(part)
-    # a row may serve as a positive and for the scaling
-    roles = ids.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"), F.max("quality").alias("quality"))
-    rows = rows_of(documents, roles)
+    # a row, and so a text, may serve in several roles; at most some thousand ids are broadcast
+    roles = checkpointed(ids.groupBy("doc_id").agg(F.collect_set("kind").alias("kinds"), F.max("quality").alias("quality")))
+    rows = documents.select("doc_id", "text").join(F.broadcast(roles), "doc_id")
+    by_text = rows.groupBy(text_key().alias("k")).agg(F.min("text").alias("text"), F.array_distinct(F.flatten(F.collect_list("kinds"))).alias("kinds"), F.max("quality").alias("quality"))
 
-    def shapes(_, texts, kinds, quality):
+    def shapes(texts, kinds, quality):
         return ((k, q, features(t)) for t, k, q in zip(texts, kinds, quality))
 
-    found = mapped(rows.select("doc_id", "text", "kinds", "quality"), shapes, "kinds array<string>, quality int, x array<double>", {"kinds": pa.list_(pa.string()), "quality": pa.int32(), "x": pa.list_(pa.float64())}).collect()
-    found.sort(key=lambda r: (r.x, r.kinds))
+    found = mapped(by_text.select("text", "kinds", "quality"), shapes, "kinds array<string>, quality int, x array<double>", {"kinds": pa.list_(pa.string()), "quality": pa.int32(), "x": pa.list_(pa.float64())}).collect()
+    found.sort(key=lambda r: (r.x, sorted(r.kinds), r.quality))
     of = lambda kind: np.array([r.x for r in found if kind in r.kinds]).reshape(-1, FEATURES)
-    if not len(of("p")) or not len(of("u")):
-        return None, prior
+    positive, unlabelled = of("p"), of("u")
+    if not len(positive) or not len(unlabelled):
+        return None, share
+    prior = estimated_prior(positive, unlabelled) if min(len(positive), len(unlabelled)) > 1 else share
     model = Network()
-    model.fit(of("p"), of("u"), prior)
+    model.fit(positive, unlabelled, prior)
     y = np.array([r.quality for r in found if "s" in r.kinds])
     if len(set(y.tolist())) > 1:
         model.rescale(of("s"), y)
@@ -171,8 +208,8 @@ def score_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that aren't rejected, with the columns they had."""
-    return keep(documents, fit(documents, labels), lambda m: (lambda texts: (m[0].score(np.array([features(t) for t in texts]).reshape(-1, FEATURES)) if m[0] else np.full(len(texts), m[1])) >= THRESHOLD))
+    """The documents that aren't rejected, with the columns they had; all of them where there is no model."""
+    return keep(documents, fit(documents, labels)[0], lambda m: (lambda texts: m.score(np.array([features(t) for t in texts]).reshape(-1, FEATURES)) >= THRESHOLD if m else np.full(len(texts), True)))
 
 
 def keep(documents: DataFrame, model, decide) -> DataFrame:
@@ -184,4 +221,4 @@ def keep(documents: DataFrame, model, decide) -> DataFrame:
             at = batch.schema.get_field_index("text")
             yield batch.filter(pa.array(np.asarray(test(batch.column(at).to_pylist()), bool)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return in_arrow(documents, run, documents.schema)

@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions_for
+from .common import in_arrow, partitions_for
 
 TILE, GROUP = 2048, 65_536
 
@@ -45,7 +45,7 @@ def _packed(rows: DataFrame) -> DataFrame:
                     part = slice(k, k + TILE)
                     yield pa.RecordBatch.from_arrays([pa.array([dim], pa.int32()), pa.array([ids[chosen[part]].astype(np.int64).tobytes()], pa.binary()), pa.array([values[part].tobytes()], pa.binary())], ["dim", "ids", "matrix"])
 
-    return rows.mapInArrow(run, "dim int, ids binary, matrix binary")
+    return in_arrow(rows, run, "dim int, ids binary, matrix binary")
 
 
 def best(query_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, tile: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -86,6 +86,6 @@ def exact_top_k(queries: DataFrame, candidates: DataFrame, k: int = 5, groups: i
                 q, c, s = best(np.frombuffer(query_ids, np.int64), np.frombuffer(query_matrix, np.int64).reshape(-1, dim), np.frombuffer(ids, np.int64), np.frombuffer(matrix, np.int64).reshape(-1, dim), k)
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (q, c, s)], ["query_id", "vec_id", "score"])
 
-    lists = pairs.select("dim", "ids", "matrix", "query_ids", "query_matrix").mapInArrow(run, "query_id long, vec_id long, score long")
+    lists = in_arrow(pairs.select("dim", "ids", "matrix", "query_ids", "query_matrix"), run, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return lists.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")

@@ -3,10 +3,12 @@
 Words are spelt out between marks for their beginning and end.  Toxic and ordinary letter models of order
 ORDER + 1 are counted over distinct words of distinct labelled texts; both back off to one shared Kneser-Ney
 model, whose continuation counts come from the words of all documents.  An unseen ending of a known toxic
-stem is thus still telling, while spellings that neither class has seen say nothing.  A word's evidence is
-its toxic minus its ordinary log-likelihood; a document is described by its two strongest words, by the strongest
-for its length, and by its mean over words, and a logistic scaling, fitted on labelled rows that the models
-haven't counted, turns these into a score.
+stem is thus still telling, while spellings that neither class has seen say nothing.
+
+A span's evidence is its toxic minus its ordinary log-likelihood over its length in letters.  The spans are the whole
+document, all of its words in order and as often as they stand, and every run of SPANS words; of each length of run
+the span that speaks most for toxicity counts, for one telling expression vanishes in the mean of a long text.  A logistic
+scaling, fitted on labelled rows that the models haven't counted, turns these into a score.
 
 Every labelled row of the training folds is counted or scales the scores; none is sampled.  The spellings that
 labelled texts hold have a likelihood ratio of their own, found by joins.  The table sent to executors has two
@@ -15,7 +17,9 @@ with their rows.
 
 Defined results: a null text is an empty one; texts without words, and all texts when a class has no labelled
 rows, get the share of toxic rows as their score; labelled texts that are equal count once, as toxic if any is
-labelled so; doc_id is the key of documents.
+labelled so, and so do repeated labels of a doc_id; repeated rows are scored each for itself; a null doc_id is in no fold;
+an empty table gives no rows; words and texts are judged whole, however long; other columns, whatever their names, are
+kept by ``kept_documents`` and not read.
 """
 
 from __future__ import annotations
@@ -24,31 +28,53 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
-from .labelled import fold, mapped
+from .common import checkpointed, in_arrow
+from .labelled import fold, mapped, text_key
 from .quality import keep, scaling
 
 #: Letters of context.
 ORDER = 5
 #: Labelled ids are broadcast up to so many, and joined by a shuffle beyond; the rows are the same.
 BROADCAST_IDS = 1_000_000
-#: Texts whose words are held at once.
-SLICE = 200
+#: Words of the runs that are judged as spans; one scaling input each, beside the whole document.
+SPANS = (1, 2, 16)
+#: Different tokens that a worker remembers, and different words that a task gathers before it emits them.
+MEMO, GATHERED = 150_000, 100_000
+#: Tokens whose spans are judged at once.
+SLICE = 200_000
 FOLDS, HELD_OUT, SCALE_FOLD, THRESHOLD = 5, 0, 4, 0.5
 WORD = re.compile(r"[^\W\d_]+")
-#: Letters of a word that are spelt out; longer runs of letters are judged in pieces of this length.
-LONGEST = 40
+#: Letters of a piece of a long word; pieces overlap by the letters of context, so their steps are the word's.
+PIECE = 200
 DISCOUNT = 0.75
 
 
-def words_of(text: str | None) -> set[str]:
-    found = set(WORD.findall((text or "").lower()))
-    if any(len(w) > LONGEST for w in found):
-        found = {w[i : i + LONGEST] for w in found for i in range(0, len(w), LONGEST)}
-    return found
+def letters_of(token: str) -> list[str]:
+    """The words in a token, which is a text's run of characters that aren't white space."""
+    return WORD.findall(token.lower())
+
+
+class Words(dict):
+    """Words of tokens, remembered up to a bound."""
+
+    def __missing__(self, token: str) -> tuple[str, ...]:
+        found = tuple(letters_of(token))
+        if len(self) < MEMO:
+            self[token] = found
+        return found
+
+    def of(self, text: str | None) -> set[str]:
+        return {w for token in {*(text or "").split()} for w in self[token]}
+
+
+def pieces(word: str) -> list[str]:
+    """A word between marks, in pieces of a bounded length; every piece but the first begins with its context."""
+    marked = f"^{word}$"
+    return [marked[max(0, i - ORDER) : i + PIECE] for i in range(0, len(marked), PIECE)] if len(marked) > PIECE else [marked]
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -78,10 +104,9 @@ def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing
 
 
 def _steps(words: DataFrame) -> DataFrame:
-    """Adds a row for each letter of each word: context and letter."""
-    marked = words.withColumn("m", F.concat(F.lit("^"), "word", F.lit("$")))
-    steps = F.expr(f"transform(sequence(1, length(m) - 1), i -> named_struct('h', substring(m, greatest(1, i - {ORDER - 1}), least(i, {ORDER})), 'c', substring(m, i + 1, 1)))")
-    return marked.withColumn("s", F.explode(steps)).select(*(c for c in words.columns if c != "word"), "s.h", "s.c")
+    """Adds a row for each letter of each piece that isn't its context: the letters before it, and itself."""
+    steps = F.expr(f"transform(sequence(if(startswith(piece, '^'), 1, {ORDER}), length(piece) - 1), i -> named_struct('h', substring(piece, greatest(1, i - {ORDER - 1}), least(i, {ORDER})), 'c', substring(piece, i + 1, 1)))")
+    return words.withColumn("s", F.explode(steps)).select(*(c for c in words.columns if c != "piece"), "s.h", "s.c")
 
 
 class Ratios:
@@ -92,7 +117,7 @@ class Ratios:
         self.seen, self.other, self.prior, self.scale = seen, other, prior, None
 
     def words(self, words: list[str]) -> np.ndarray:
-        """The evidence of each word."""
+        """The toxic minus the ordinary log-likelihood of each word."""
         if not words:
             return np.zeros(0)
         codes = _codes([f"{chr(0) * ORDER}^{w}$" for w in words])
@@ -102,49 +127,105 @@ class Ratios:
         ratios = _looked_up(*self.seen, steps, _looked_up(*self.other, contexts, 0.0))
         return np.bincount(np.repeat(np.arange(len(words)), [len(w) + 1 for w in words]), ratios, len(words))
 
-    def evidence(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
-        return np.concatenate([np.zeros((0, 4)), *(self._evidence(texts[i : i + SLICE], memo) for i in range(0, len(texts), SLICE))])
-
-    def _evidence(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
-        found = [words_of(text) for text in texts]
-        if len(memo) > 250_000:
-            memo.clear()
-        new = sorted({w for words in found for w in words if w not in memo})
-        memo.update(zip(new, self.words(new).tolist()))
-        rows = []
-        for words in found:
-            best = second = longest = total = 0.0
-            for w in words:
-                v = memo[w]
-                total += v
-                if v > second:
-                    if v > best:
-                        best, second = v, best
-                    else:
-                        second = v
-                    longest = max(longest, v / (len(w) + 1))
-            rows.append((best, second, longest, total / max(1, len(words))))
-        return np.array(rows).reshape(-1, 4)
-
-    def score(self, texts: list[str | None], memo: dict[str, float]) -> np.ndarray:
+    def tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Summed evidence of each token's words, and their letters, marks of their ends included."""
+        found = [letters_of(t) for t in tokens]
+        flat = [w for own in found for w in own]
+        owner = np.repeat(np.arange(len(tokens)), [len(own) for own in found])
+        return np.bincount(owner, self.words(flat), len(tokens)), np.bincount(owner, [len(w) + 1 for w in flat], len(tokens))
+
+    def evidence(self, texts: list[str | None], judge: "Judge") -> np.ndarray:
+        """Rows of inputs: of the whole document, of the best run of each length, and 1 if there is a word."""
+        out, part, size = [np.zeros((0, len(SPANS) + 2))], [], 0
+        for text in texts:
+            part.append((text or "").split())
+            size += len(part[-1])
+            if size >= SLICE:
+                out.append(judge.spans(part))
+                part, size = [], 0
+        return np.concatenate([*out, judge.spans(part)])
+
+    def score(self, texts: list[str | None], judge: "Judge") -> np.ndarray:
         if self.scale is None:
             return np.full(len(texts), self.prior)
-        x = self.evidence(texts, memo)
-        z = x @ np.array(self.scale[:-1]) + self.scale[-1]
-        return np.where(np.array([bool(WORD.search(t or "")) for t in texts]), 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
+        x = self.evidence(texts, judge)
+        z = x[:, :-1] @ np.array(self.scale[:-1]) + self.scale[-1]
+        return np.where(x[:, -1] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
+
+
+class Judge:
+    """Evidence of tokens, remembered up to a bound by their places in two growing arrays."""
+
+    def __init__(self, model: Ratios):
+        self.model = model
+        self.forget()
+
+    def forget(self) -> None:
+        self.places: dict[str, int] = {}
+        self.sums, self.letters = np.zeros(0), np.zeros(0)
+
+    def _learn(self, tokens: list[str]) -> None:
+        new = [*({*tokens} - self.places.keys())]
+        if new:
+            sums, letters = self.model.tokens(new)
+            self.places.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
+            self.sums, self.letters = np.r_[self.sums, sums], np.r_[self.letters, letters]
+
+    def spans(self, texts: list[list[str]]) -> np.ndarray:
+        if len(self.places) > MEMO:
+            self.forget()
+        flat = [t for own in texts for t in own]
+        self._learn(flat)
+        places = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        sums, letters = self.sums[places], self.letters[places]
+        # tokens without a word are no part of a run
+        worded = letters > 0
+        owner = np.repeat(np.arange(len(texts)), [len(own) for own in texts])[worded]
+        total, size = (np.r_[0.0, np.cumsum(x[worded])] for x in (sums, letters))
+        ends = np.searchsorted(owner, np.arange(len(texts)), "right")
+        starts = np.r_[0, ends[:-1]]
+        some = ends > starts
+        out = np.zeros((len(texts), len(SPANS) + 2))
+        out[:, -1] = some
+        if some.any():
+            out[some, 0] = (total[ends] - total[starts])[some] / (size[ends] - size[starts])[some]
+            for k, width in enumerate(SPANS, 1):
+                # a run begins at each word; near a document's end it is shorter
+                last = np.minimum(np.arange(len(owner)) + width, ends[owner])
+                runs = (total[last] - total[:-1]) / np.maximum(size[last] - size[:-1], 1)
+                short = last - np.arange(len(owner)) < np.minimum(width, (ends - starts)[owner])
+                out[some, k] = np.maximum.reduceat(np.where(short, -np.inf, runs), starts[some])
+        return out
+
+
+def _gathered(rows, schema: str, kinds: dict[str, pa.DataType], spread):
+    """Rows of counts (key..., n) summed within a task, a bounded number of different keys at a time."""
+
+    def run(batches):
+        memo, found = Words(), {}
+        for batch in batches:
+            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
+                for key in spread(memo, *row):
+                    found[key] = found.get(key, 0) + 1
+                if len(found) >= GATHERED:
+                    yield _counted(found, kinds)
+                    found = {}
+        if found:
+            yield _counted(found, kinds)
+
+    return in_arrow(rows, run, schema)
+
+
+def _counted(found: dict, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = [*zip(*found), tuple(found.values())]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
 
 
 def corpus_continuations(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of wanted (h, c): how many distinct longer contexts of the whole corpus continue h by c, and h's sums."""
-
-    def distinct(texts):
-        found: set[str] = set()
-        for text in texts:
-            found |= words_of(text)
-        return ((w,) for w in found)
-
-    words = mapped(documents.select("text"), distinct, "word string", {"word": pa.string()}).distinct()
-    full = _steps(words).distinct()
+    kinds = {"piece": pa.string(), "n": pa.int64()}
+    words = _gathered(documents.select("text"), "piece string, n long", kinds, lambda memo, text: ((p,) for w in memo.of(text) for p in pieces(w)))
+    full = _steps(words.select("piece").distinct()).distinct()
     # every shorter context of a step is continued once for each distinct full one
     lower = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("h") - 1))).select(F.expr("substring(h, length(h) - k + 1, k)").alias("h"), "c")
     counts = lower.groupBy("h", "c").agg(F.count("*").alias("n"))
@@ -156,7 +237,7 @@ def labelled_rows(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, toxic and scales of the labelled rows of the training folds, one for each different text."""
     known = labels.filter("doc_id IS NOT NULL AND toxic IN (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     train = checkpointed(known.filter(fold("doc_id", FOLDS) != HELD_OUT).withColumn("scales", fold("doc_id", FOLDS) == SCALE_FOLD))
-    digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest")
+    digest = text_key().alias("digest")
     # a text that is also counted doesn't scale
     by_text = _joined(documents, train).select("doc_id", digest, "toxic", "scales").groupBy("digest").agg(F.min("doc_id").alias("doc_id"), F.max("toxic").alias("toxic"), F.min("scales").alias("scales"))
     return checkpointed(by_text.drop("digest"))
@@ -170,18 +251,11 @@ def _joined(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def class_counts(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """h, c, and of each class how many distinct words of distinct counted texts hold the spelling: n0, n1."""
 
-    def spread(texts, toxic):
-        # equal words of a batch are one row
-        found: dict[tuple[str, int], int] = {}
-        for text, t in zip(texts, toxic):
-            for w in words_of(text):
-                found[w, t] = found.get((w, t), 0) + 1
-        return ((w, t, n) for (w, t), n in found.items())
-
-    schema, kinds = "word string, toxic int, n long", {"word": pa.string(), "toxic": pa.int32(), "n": pa.int64()}
-    words = mapped(_joined(documents, rows.filter("NOT scales")).select("text", "toxic"), spread, schema, kinds)
+    schema, kinds = "piece string, toxic int, n long", {"piece": pa.string(), "toxic": pa.int32(), "n": pa.int64()}
+    counted = _joined(documents, rows.filter("NOT scales")).select("text", "toxic")
+    words = _gathered(counted, schema, kinds, lambda memo, text, toxic: ((p, toxic) for w in memo.of(text) for p in pieces(w)))
     of = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
-    by_word = words.groupBy("word").agg(of(0), of(1))
+    by_word = words.groupBy("piece").agg(of(0), of(1))
     return checkpointed(_steps(by_word).groupBy("h", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
 
 
@@ -246,27 +320,31 @@ def fit(documents: DataFrame, labels: DataFrame) -> Ratios:
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
     def evidence(texts, toxic):
-        return ((*x, t) for x, t in zip(sent.value.evidence(texts, {}).tolist(), toxic))
+        return ((*x, t) for x, t in zip(sent.value.evidence(texts, Judge(sent.value)).tolist(), toxic))
 
-    names = ["best", "second", "longest", "mean"]
+    names = ["whole", *(f"run{n}" for n in SPANS), "some"]
     held = mapped(_joined(documents, rows.filter("scales")).select("text", "toxic"), evidence, ", ".join(f"{x} double" for x in names) + ", toxic int", {x: pa.float64() for x in names} | {"toxic": pa.int32()}).toArrow()
+    sent.destroy()
+    held = held.filter(pc.greater(held["some"], 0))
     y = held["toxic"].to_numpy()
     share = np.array([1 - prior, prior])
     n = np.array([(y == 0).sum(), (y == 1).sum()])
+    if not n.all():
+        return model
     # equal texts count once; weights give the classes back their shares
     weight = (share * len(y) / n)[y]
     target = np.where(y == 1, (n[1] + 1) / (n[1] + 2), 1 / (n[0] + 2))
-    model.scale = scaling(np.stack([held[x].to_numpy() for x in names], 1), target, weight)
+    model.scale = scaling(np.stack([held[x].to_numpy() for x in names[:-1]], 1), target, weight)
     return model
 
 
 def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score and predicted of every document."""
     sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-    memo: dict[str, float] = {}
+    judges: list[Judge] = []
 
     def run(keys, held, texts):
-        scores = sent.value.score(texts, memo).tolist()
+        scores = sent.value.score(texts, _judge(judges, sent)).tolist()
         return ((k, h, s, int(s >= THRESHOLD)) for k, h, s in zip(keys, held, scores))
 
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(fold("doc_id", FOLDS) == HELD_OUT, F.lit(False)).alias("held_out"), "text")
@@ -276,5 +354,12 @@ def score_toxicity(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def kept_documents(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that aren't rejected, with the columns they had."""
     sent = documents.sparkSession.sparkContext.broadcast(fit(documents, labels))
-    memo: dict[str, float] = {}
-    return keep(documents, sent, lambda m: (lambda texts: m.value.score(texts, memo) < THRESHOLD))
+    judges: list[Judge] = []
+    return keep(documents, sent, lambda m: (lambda texts: m.value.score(texts, _judge(judges, m)) < THRESHOLD))
+
+
+def _judge(judges: list[Judge], sent) -> Judge:
+    """The judge of this task."""
+    if not judges:
+        judges.append(Judge(sent.value))
+    return judges[0]
