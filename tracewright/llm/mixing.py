@@ -14,8 +14,12 @@
 Only tables with a row a source, or a row a block, are joined to documents; they are broadcast while
 counted small and shuffled otherwise.
 
+What is taken of a document is what the shards hold of it: a block that no shard owns gives nothing.
+
 Defined results: null texts have size 0 and nothing is taken of them; a null source is a source of its own,
-the last; repeated rows are mixed each for itself; an empty table gives an empty mix.
+the last; rows of one key, source and size are alike: where a quota ends among them each gives the same number of
+words (``mixed_documents`` takes all of them or none), so no row exceeds its limit; an empty table gives an empty mix;
+texts are counted whole, however long; other columns, whatever their names, are kept by ``mixed_documents``.
 """
 
 from __future__ import annotations
@@ -129,8 +133,11 @@ def plan(sized: DataFrame, seed: int = 0, weights: tuple[int, ...] = (3, 1, 2),
     bounds = targets.join(edges.alias("e"), targets["source"].eqNullSafe(F.col("e.source")), "left").select(targets["*"], F.coalesce("e.block", F.lit(-1).cast("long")).alias("edge"), F.coalesce("e.before", F.lit(0).cast("long")).alias("before"))
     bounds = checkpointed(bounds)
     edge = placed.join(_with(bounds, sources).alias("b"), placed["source"].eqNullSafe(F.col("b.source")) & (placed["block"] == F.col("b.edge"))).select(placed["source"], "key", "place", "size", F.col("b.before").alias("before"))
-    rows = Window.partitionBy("source").orderBy("place", "key")
-    within = checkpointed(edge.select("source", "key", (F.col("before") + F.sum("size").over(rows) - F.col("size")).alias("start")))
+    # rows of one key and size are one entry
+    entries = edge.groupBy("source", "key", "place", "size", "before").agg(F.count("*").alias("rows"))
+    order = Window.partitionBy("source").orderBy("place", "key", "size")
+    words = F.col("size") * F.col("rows")
+    within = checkpointed(entries.select("source", "key", "size", "rows", (F.col("before") + F.sum(words).over(order) - words).alias("start")))
     drawn = bounds.select("source", (F.col("whole") * F.expr("shiftleft(1L, bits)") + F.col("edge") + 1).cast("long").alias("blocks"), "target")
     sums = drawn.agg(F.sum("blocks"), F.sum("target")).first()  # one row
     blocks = int(sums[0] or 0)
@@ -153,10 +160,11 @@ def mixture(documents: DataFrame, made: Plan, whole_documents: bool = False) ->
     d = documents.join(_with(made.bounds, made.sources).alias("b"), documents["source"].eqNullSafe(F.col("b.source"))).select(documents["*"], *(F.col(f"b.{c}") for c in ("source_size", "target", "whole", "rest", "bits", "edge")))
     d = d.withColumn("block", F.expr(f"shiftright(place, {HASH_BITS} - bits)"))
     w = _with(made.within, made.edge).alias("w")
-    d = d.join(w, d["source"].eqNullSafe(F.col("w.source")) & d["key"].eqNullSafe(F.col("w.key")) & (F.col("block") == F.col("edge")), "left").select(d["*"], F.col("w.start").alias("start"))
-    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("start")))
-    if whole_documents:
-        part = F.when(part * 2 >= F.col("size"), F.col("size")).otherwise(0)
+    same = d["source"].eqNullSafe(F.col("w.source")) & d["key"].eqNullSafe(F.col("w.key")) & (d["size"] == F.col("w.size"))
+    d = d.join(w, same & (F.col("block") == F.col("edge")), "left").select(d["*"], F.col("w.start").alias("start"), F.col("w.rows").alias("rows"))
+    words = F.col("size") * F.col("rows")
+    part = F.greatest(F.lit(0), F.least(words, F.col("rest") - F.col("start")))
+    part = F.when(part * 2 >= words, F.col("size")).otherwise(0) if whole_documents else F.call_function("div", part, F.col("rows"))
     last = F.when(F.col("block") < F.col("edge"), F.col("size")).when(F.col("block") == F.col("edge"), part).otherwise(0).cast("long")
     d = d.withColumn("last", last)
     turns = F.filter(F.transform(F.expr("sequence(0L, whole)"), lambda t: F.struct(t.alias("turn"), F.when(t < F.col("whole"), F.col("size")).otherwise(F.col("last")).alias("taken"), (F.expr("shiftleft(1L, bits)") * t + F.col("block")).alias("draw"))), lambda t: t["taken"] > 0)
@@ -171,10 +179,12 @@ def sized_documents(documents: DataFrame, key: str = "doc_id", text: str = "text
 
 
 def mix_digests(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, size, source_size, target and taken words over all shards."""
+    """Per document: doc_id, size, source_size, target, taken words over all shards, and draws, in how many shards' blocks it is."""
     sized = checkpointed(sized_documents(documents).withColumn("row", F.monotonically_increasing_id()))
     mixed = mixture(sized, plan(sized))
-    return mixed.groupBy("row", F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target").agg(F.sum("taken").alias("taken")).drop("row")
+    owned = F.col("shard").isNotNull()
+    taken = F.sum(F.when(owned, F.col("taken")).otherwise(0)).alias("taken")
+    return mixed.groupBy("row", F.col("key").cast("long").alias("doc_id"), "size", "source_size", "target").agg(taken, F.count_if(owned).alias("draws")).drop("row")
 
 
 def mixed_documents(documents: DataFrame) -> DataFrame:
@@ -183,6 +193,6 @@ def mixed_documents(documents: DataFrame) -> DataFrame:
     own = sized_documents(documents)
     made = plan(checkpointed(own))
     rows = documents.select(F.struct(*columns).alias("document"), F.col("doc_id").alias("key"), F.col("source").cast("string").alias("source"), word_count(F.col("text")).alias("size"), place(F.col("doc_id"), 0).alias("place"))
-    mixed = mixture(rows, made, whole_documents=True).filter("taken > 0")
+    mixed = mixture(rows, made, whole_documents=True).filter("taken > 0 AND shard IS NOT NULL")
     shards = mixed.repartition("shard").sortWithinPartitions("shard", "order")
     return shards.select("document.*")

@@ -93,11 +93,14 @@ targets AS (SELECT source, source_size, least(cap::DOUBLE, coalesce(l * weight,
 quotas AS (
   SELECT *, CASE WHEN source_size > 0 THEN least(2, floor(target + 0.5)::BIGINT // source_size) ELSE 0 END AS whole,
          floor(target + 0.5)::BIGINT AS quota FROM targets),
+alike AS (SELECT doc_id, source, size, place, count(*) AS n FROM sized GROUP BY ALL),
 placed AS (
-  SELECT d.*, q.source_size, q.target, q.whole, q.quota - q.whole * q.source_size AS rest,
-         sum(d.size) OVER (PARTITION BY d.source ORDER BY d.place, d.doc_id ROWS UNBOUNDED PRECEDING) - d.size AS before
-  FROM sized d JOIN quotas q ON d.source IS NOT DISTINCT FROM q.source)
-SELECT doc_id, size, source_size, target, (whole * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM placed""",
+  SELECT a.*, q.source_size, q.target, q.whole, q.quota - q.whole * q.source_size AS rest,
+         sum(a.size * a.n) OVER (PARTITION BY a.source ORDER BY a.place, a.doc_id, a.size ROWS UNBOUNDED PRECEDING) - a.size * a.n AS before
+  FROM alike a JOIN quotas q ON a.source IS NOT DISTINCT FROM q.source),
+taken AS (SELECT *, greatest(0, least(size * n, rest - before)) // n AS part FROM placed)
+SELECT d.doc_id, d.size, t.source_size, t.target, (t.whole * d.size + t.part)::BIGINT AS taken, CASE WHEN d.size > 0 THEN t.whole + (t.part > 0)::BIGINT ELSE 0 END::BIGINT AS draws
+FROM sized d JOIN taken t ON d.doc_id IS NOT DISTINCT FROM t.doc_id AND d.source IS NOT DISTINCT FROM t.source AND d.size = t.size""",
     "op4_chat": rf"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
