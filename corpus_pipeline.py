@@ -1,18 +1,17 @@
 """A corpus pipeline of five stages over documents.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; its rows are written and read again for the next
-stage.  All but the last return the columns of documents.
+stage.  All but the last return the columns of documents, extra ones included.  Each operator's docstring says what it does
+with nulls, empty texts, repeated rows and empty tables.
 """
 
 from __future__ import annotations
 
-import uuid
-
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from tracewright.llm import bpe, jaccard, mixing, quality, toxicity
-from tracewright.llm.common import ensure_checkpoint_dir, table
+from tracewright.llm.common import new_folder, removed, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +41,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ensure_checkpoint_dir(spark)
-    folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """The last stage's rows; what an earlier stage wrote goes once the next has read it."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(f"{folder}/{name}")
-        docs = spark.read.parquet(f"{folder}/{name}")
+        folder = new_folder(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            removed(spark, before)
+        before = folder
     return docs
