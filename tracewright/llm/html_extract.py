@@ -6,8 +6,12 @@ log-odds of standing inside the content, counted over labelled pages: pages whos
 Elements that are never content (navigation, forms, scripts, comment sections and the like) score low and are
 left out of the region's text.
 
+A quote opens a value after an equals sign only; a value that isn't closed in the page ends with its tag.
+
 Defined results: a null page is an empty one; a page without a word of content has the text ""; pages that end
-early are read as far as they go.
+early are read as far as they go; pages are read whole, however long; of equally good regions the first counts; repeated
+rows are pages of their own; an empty table gives no rows; other columns, whatever their names, are neither read nor
+returned; without a page with marked content the weights are those of WORD_WEIGHT and TAG_MOST.
 """
 
 from __future__ import annotations
@@ -30,7 +34,7 @@ NEVER = frozenset("nav footer aside form menu dialog head".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset("address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split())
 MARKED = re.compile(r"(?:^|\s)(?:ads?|advert\w*|banner|breadcrumbs?|comments?|cookies?|consent|disqus|footer|masthead|menu|modal|nav\w*|newsletter|notices?|pagination|popup|promo\w*|related|replies|respond|share|sharing|sidebar|social|sponsor\w*|subscribe|toolbar|widget)(?=$|\s)", re.I)
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:=\s*+\"[^\"]*\"|=\s*+'[^']*'|[^>])*+)(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 
 #: Labelled pages that weights are fitted on, at most.
@@ -144,20 +148,28 @@ def weights_of(counts: Counter) -> dict[str, float]:
     return out
 
 
-def extract(page: str | None, weights: dict[str, float]) -> str:
-    """The text of the best region: one line a block."""
-    items = list(walk(page or ""))
-    best, best_span, total, start = 0.0, (0, 0), 0.0, 0
-    words = [entities.unescape(v).split() if k == "text" and not b else () for k, v, b, _ in items]
+def scores(items: list[tuple[str, str, bool, bool]], weights: dict[str, float]) -> list[float]:
+    """Of each item; what is barred is left out of the text, so it neither makes nor breaks a region."""
     word = weights["#word"]
-    for i, (kind, value, barred, _) in enumerate(items):
-        if barred:
-            continue  # left out of the text, so it neither makes nor breaks a region
-        total += word * len(words[i]) if kind == "text" else weights.get(f"{'/' if kind == 'close' else ''}{value}", TAG_MOST)
+    return [0.0 if barred else word * len(entities.unescape(value).split()) if kind == "text" else weights.get(f"{'/' if kind == 'close' else ''}{value}", TAG_MOST) for kind, value, barred, _ in items]
+
+
+def best_region(values: list[float]) -> tuple[int, int]:
+    """The bounds of the contiguous region with the highest positive sum, by one scan; (0, 0) without one."""
+    best, span, total, start = 0.0, (0, 0), 0.0, 0
+    for i, value in enumerate(values):
+        total += value
         if total <= 0:
             total, start = 0.0, i + 1
         elif total > best:
-            best, best_span = total, (start, i + 1)
+            best, span = total, (start, i + 1)
+    return span
+
+
+def extract(page: str | None, weights: dict[str, float]) -> str:
+    """The text of the best region: one line a block."""
+    items = list(walk(page or ""))
+    best_span = best_region(scores(items, weights))
     lines: list[str] = []
     current: list[str] = []
     joined = True  # whether the next text goes on in the word that the last one ended in

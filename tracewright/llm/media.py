@@ -4,8 +4,12 @@
 uncompressed strips and tiles, undoes horizontal differencing, and yields one page per directory;
 ``tiff_pages`` applies it to a column and emits one row per page.  ``encode_tiff`` writes such files.
 
-Defined results: a null text is an empty one; a null file has no pages; a damaged file yields one row
-with ``error`` set and no pixels, so that one bad file never ends a job.
+Defined results: a null text is an empty one; texts and files are read whole, however long; a null file has no pages; a
+damaged file, one of a form that isn't read (other sample sizes, predictors, planes apart, bits in reverse), and one whose
+pages claim more than its bytes can hold yield, after the pages before the damage, one row with ``error`` set and no
+pixels, so that one bad file never ends a job; ``media_digests`` gives such files, and null ones, null digests and a feature
+that says so.  Repeated rows are files of their own; an empty table gives no rows; other columns, whatever their names,
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -25,17 +29,21 @@ from .common import in_arrow
 # Fixed values of the TIFF 6.0 format.
 TAG_WIDTH, TAG_HEIGHT, TAG_BITS, TAG_COMPRESSION, TAG_PHOTOMETRIC = 256, 257, 258, 259, 262
 TAG_STRIP_OFFSETS, TAG_SAMPLES, TAG_ROWS_PER_STRIP, TAG_STRIP_COUNTS = 273, 277, 278, 279
+TAG_FILL_ORDER, TAG_PLANES = 266, 284
 TAG_PREDICTOR, TAG_TILE_WIDTH, TAG_TILE_HEIGHT, TAG_TILE_OFFSETS, TAG_TILE_COUNTS = 317, 322, 323, 324, 325
 NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 FIELD_BYTES = {1: 1, 2: 1, 3: 2, 4: 4, 5: 8, 6: 1, 7: 1, 8: 2, 9: 4, 10: 8, 11: 4, 12: 8, 13: 4}
 
 #: Samples in a row of a page, and rows in a page.
 ROW, PAGE_ROWS, STRIP_ROWS = 576, 4096, 256
+#: Bytes that a byte of a file can stand for in any of the compressions, generously.
+MOST_RATIO = 4096
 
 
-def packbits_decode(data: bytes) -> bytes:
+def packbits_decode(data: bytes, most: int | None = None) -> bytes:
+    """Decoding ends once there are ``most`` bytes."""
     out, i = bytearray(), 0
-    while i < len(data):
+    while i < len(data) and (most is None or len(out) < most):
         head = data[i]
         i += 1
         if head < 128:
@@ -118,7 +126,8 @@ def lzw_encode(data: bytes) -> bytes:
     return bytes(out)
 
 
-def lzw_decode(data: bytes) -> bytes:
+def lzw_decode(data: bytes, most: int | None = None) -> bytes:
+    """Decoding ends once there are ``most`` bytes."""
     out = bytearray()
     first = [bytes((i,)) for i in range(256)] + [b"", b""]
     book, width, before = list(first), 9, None
@@ -144,14 +153,21 @@ def lzw_decode(data: bytes) -> bytes:
             entry = book[code] if code < len(book) else before + before[:1]
             book.append(before + entry[:1])
         out += entry
+        if most is not None and len(out) >= most:
+            break
         before = entry
         if len(book) + 1 >= 1 << width and width < 12:
             width += 1
     return bytes(out)
 
 
+def deflate_decode(data: bytes, most: int) -> bytes:
+    # one more byte than wanted, so that a stream of the right length is read to its checksum
+    return zlib.decompressobj().decompress(data, most + 1)[:most]
+
+
 ENCODERS = {NONE: bytes, LZW: lzw_encode, DEFLATE: zlib.compress, PACKBITS: packbits_encode}
-DECODERS = {NONE: bytes, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress, PACKBITS: packbits_decode}
+DECODERS = {NONE: lambda data, most: data, LZW: lzw_decode, DEFLATE: deflate_decode, OLD_DEFLATE: deflate_decode, PACKBITS: packbits_decode}
 
 
 def _difference(rows: np.ndarray) -> np.ndarray:
@@ -242,15 +258,20 @@ def _page(data: bytes, field: dict[int, tuple[int, ...]]) -> np.ndarray:
     width, height, per_pixel = one(TAG_WIDTH, 0), one(TAG_HEIGHT, 0), one(TAG_SAMPLES, 1)
     if set(field.get(TAG_BITS, (8,))) != {8} or one(TAG_COMPRESSION, NONE) not in DECODERS:
         raise ValueError("only 8-bit samples in the known compressions are read")
+    if one(TAG_PREDICTOR, 1) not in (1, 2) or one(TAG_FILL_ORDER, 1) != 1 or one(TAG_PLANES, 1) != 1 and per_pixel > 1:
+        raise ValueError("only samples side by side, first bit first, whole or as differences are read")
+    wide, high = one(TAG_TILE_WIDTH, width), one(TAG_TILE_HEIGHT, 1)
+    if min(width, height, per_pixel, wide, high) < 1 or (width + wide) * (height + high) * per_pixel > MOST_RATIO * (len(data) + 1024):
+        raise ValueError("the file can't hold a page of this size")
     decode, differenced = DECODERS[one(TAG_COMPRESSION, NONE)], one(TAG_PREDICTOR, 1) == 2
 
     def part(offset: int, count: int, rows: int, columns: int) -> np.ndarray:
-        raw = np.frombuffer(decode(data[offset : offset + count]), np.uint8)[: rows * columns * per_pixel]
+        size = rows * columns * per_pixel
+        raw = np.frombuffer(decode(data[offset : offset + count], size), np.uint8)[:size]
         pixels = raw.reshape(rows, columns, per_pixel)
         return (np.cumsum(pixels, axis=1, dtype=np.uint8) if differenced else pixels).reshape(rows, columns * per_pixel)
 
     if TAG_TILE_OFFSETS in field:
-        wide, high = one(TAG_TILE_WIDTH, 0), one(TAG_TILE_HEIGHT, 0)
         across = -(-width // wide)
         page = np.zeros((-(-height // high) * high, across * wide * per_pixel), np.uint8)
         for k, (offset, count) in enumerate(zip(field[TAG_TILE_OFFSETS], field[TAG_TILE_COUNTS], strict=True)):
@@ -259,6 +280,8 @@ def _page(data: bytes, field: dict[int, tuple[int, ...]]) -> np.ndarray:
         return page[:height, : width * per_pixel]
     tall = min(one(TAG_ROWS_PER_STRIP, height), height) or height
     strips = zip(field[TAG_STRIP_OFFSETS], field[TAG_STRIP_COUNTS], strict=True)
+    if len(field[TAG_STRIP_OFFSETS]) != -(-height // tall):
+        raise ValueError("strips and rows don't agree")
     return np.concatenate([part(offset, count, min(tall, height - k * tall), width) for k, (offset, count) in enumerate(strips)])
 
 
@@ -273,7 +296,7 @@ def tiff_pages(df: DataFrame, key: str, media: str) -> DataFrame:
                 try:
                     for page, samples in enumerate(decode_tiff(data) if data is not None else ()):
                         rows.append((k, page, samples.shape[0], samples.shape[1], samples.tobytes(), None))
-                except (ValueError, KeyError, IndexError, struct.error, zlib.error) as why:
+                except Exception as why:  # whatever a file holds, it must not end the job
                     rows.append((k, page + 1, None, None, None, str(why) or "damaged"))
             columns = list(zip(*rows)) or [()] * 6
             kinds = (batch.schema.field(0).type, pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.string())
@@ -301,8 +324,15 @@ def feature_of(pages: list[np.ndarray]) -> str:
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
+FORMS = {0: {"compression": LZW}, 1: {"compression": PACKBITS, "predictor": False}, 2: {"tile": (192, 64)}, 3: {"compression": NONE, "predictor": False}}
+
+
 def text_media(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Store each text as a TIFF file: key, n_bytes and media.  Rows keep their order and number."""
+    """Store each text as a TIFF file: key, n_bytes and media.  Rows keep their order and number.
+
+    Most files are deflated in strips; by their payload's checksum some are stored in each of the other FORMS, so that
+    every form is written and read in earnest.
+    """
 
     def run(batches):
         for batch in batches:
@@ -310,20 +340,26 @@ def text_media(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
             for value in batch.column(1).to_pylist():
                 n, payload = payload_of(value)
                 sizes.append(n)
-                media.append(encode_tiff(payload))
+                media.append(encode_tiff(payload, **FORMS.get(zlib.crc32(payload) % 16, {})))
             yield pa.RecordBatch.from_arrays([keys, pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
     return in_arrow(documents.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), run, "doc_id long, n_bytes long, media binary")
 
 
 def media_digests(media: DataFrame) -> DataFrame:
-    """Read stored files back and describe them: one row per file."""
+    """Read stored files back, page by page, and describe them: one row per file."""
 
     def run(batches):
         for batch in batches:
             rows = []
             for key, n, data in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                pages = list(decode_tiff(data))
+                try:
+                    if data is None:
+                        raise ValueError("no file")
+                    pages = list(decode_tiff(data))
+                except Exception as why:  # whatever a file holds, it must not end the job
+                    rows.append((key, n, None, None, None, None if data is None else len(data), None if data is None else hashlib.sha256(data).hexdigest(), f"error={why}"))
+                    continue
                 payload = b"".join(p.tobytes() for p in pages)
                 rows.append((key, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(data), hashlib.sha256(data).hexdigest(), feature_of(pages)))
             columns = list(zip(*rows)) or [()] * 8
