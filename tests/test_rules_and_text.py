@@ -34,6 +34,57 @@ def test_redaction_of_arrays_patterns_and_hosts():
     assert json.loads(redact.sanitize_filter('{"id": "a", "t": "b"}', True)) == {"id": "xxx", "t": "xxx"}
 
 
+KEPT_LINES = {
+    "top level and performance": {"t": {"$date": "2025-01-02T03:04:05.006Z"}, "s": "W", "c": "WRITE", "id": 7, "ctx": "conn9", "msg": "Slow query", "attr": {"type": "update", "cpuNanos": 123456, "keysExamined": 3, "docsExamined": 4, "nreturned": 5, "reslen": 600, "queryHash": "AB12", "planCacheKey": "CD34", "planSummary": "COLLSCAN", "ok": 0, "errName": "Late", "errCode": 50, "protocol": "op_msg"}},
+    "replanning": {"attr": {"replanReason": "plan was pinned", "replanned": True, "durationMillis": 12}},
+    "limits": {"attr": {"command": {"find": "c", "limit": 17, "skip": 23, "maxTimeMS": 1234}}},
+    "client": {"attr": {"command": {"$client": {"mongos": {"client": "10.1.2.3:99", "version": "8.0.1"}, "driver": {"name": "d", "version": "1"}, "os": {"name": "L", "type": "L", "version": "9", "architecture": "arm"}, "platform": "p", "application": {"name": "shell 1"}}}}},
+    "read concerns": {"attr": {"readConcern": {"level": "local", "provenance": "x"}, "command": {"getMore": 99, "cursorid": 12345678901234567, "cursorExhausted": True, "queryFramework": "sbe", "readConcern": {"level": "majority", "provenance": "y"}}, "originatingCommand": {"readConcern": {"level": "linearizable", "provenance": "z"}, "collation": {"locale": "de"}, "$db": "d", "mayBypassWriteBlocking": False}}},
+    "audit": {"attr": {"command": {"$audit": {"$impersonatedUser": {"user": "u", "db": "admin"}}}, "originatingCommand": {"$audit": {"$impersonatedUser": {"user": "v", "db": "admin"}}}}},
+    "locks and storage of the list": {"attr": {"locks": {"Global": {"acquireCount": {"r": 4, "w": 5}}}, "storage": {"data": {"timeReadingMicros": 4321, "bytesRead": 8765}}}},
+    "dates": {"attr": {"command": {"filter": {"at": {"$date": "2025-06-07T08:09:10Z"}, "n": {"$oid": "65"}, "u": {"$uuid": "a-b"}}}}},
+}
+
+
+@pytest.mark.parametrize("name", KEPT_LINES)
+def test_redaction_keeps(name):
+    assert red(KEPT_LINES[name]) == KEPT_LINES[name]
+
+
+def test_redaction_masks_what_users_wrote():
+    out = red({"attr": {"errMsg": "no such customer Ann", "command": {"find": "c", "comment": "for Ann", "filter": {"city": "Bonn", "name": "Ann"}}, "application": "a", "locks": {"Mutex": {"acquireCount": {"r": 7}}, "Other": {"acquireCount": {"r": 12}}}}})["attr"]
+    assert out["errMsg"] == "xxx" and out["command"] == {"find": "c", "comment": "xxx", "filter": {"city": "xxx", "name": "xxx"}}
+    assert out["locks"]["Other"]["acquireCount"]["r"] == 99
+    assert red({"name": "Ann", "attr": {"command": {"$client": {"application": {"name": "Ann"}}, "filter": {"application": {"name": "Ann"}}}}})["attr"]["command"] == {"$client": {"application": {"name": "Ann"}}, "filter": {"application": {"name": "xxx"}}}
+
+
+def test_redaction_of_pipelines():
+    near = {"$geoNear": {"near": {"x": "home"}, "distanceField": "far", "maxDistance": 250, "spherical": True, "distanceMultiplier": 3, "query": {"kind": "shop"}}}
+    out = red({"attr": {"ns": "g.l", "command": {"aggregate": "l", "pipeline": [near, {"$match": {"who": "Ann", "when": {"$date": "2025"}}}, {"$skip": 30}, {"$limit": 40}]}}})["attr"]
+    stages = out["command"]["pipeline"]
+    assert out["ns"] == "g.l" and out["command"]["aggregate"] == "l" and stages[2:] == [{"$skip": 30}, {"$limit": 40}]
+    assert {k: stages[0]["$geoNear"][k] for k in ("distanceField", "maxDistance", "spherical", "distanceMultiplier")} == {"distanceField": "far", "maxDistance": 250, "spherical": True, "distanceMultiplier": 3}
+    assert stages[0]["$geoNear"]["query"] == {"kind": "xxx"} and stages[1]["$match"] == {"who": "xxx", "when": {"$date": "2025"}}
+
+
+def test_redaction_of_patterns_keeps_operators():
+    out = red({"attr": {"command": {"filter": {"p": {"$regularExpression": {"pattern": "^Ann\\.B", "options": ""}}}}}})["attr"]["command"]["filter"]["p"]["$regularExpression"]
+    assert out["pattern"].startswith("^xxx") and "\\" in out["pattern"] and out["options"] == ""
+
+
+def test_trimming_of_routed_commands():
+    drop = dict.fromkeys(("shardVersion", "clientOperationKey", "lsid", "$clusterTime", "$configTime", "$topologyTime", "runtimeConstants"), {"a": 1})
+    keep = {"find": "c", "filter": {"a": 1}, "limit": 5, "$db": "d", "plain": "stays"}
+    out = json.loads(redact.trim_line(json.dumps({"attr": {"durationMillis": 1234, "command": drop | keep}})))
+    assert out == {"attr": {"durationMillis": 1234, "command": keep}}
+    assert redact.process_line("not json") == "xxx" and redact.trim_line("not json") == "not json"
+
+
+def test_bold_fields_and_values():
+    line = '{"nModified": 4,"usedDisk":true,"planSummary":"IXSCAN { a: 1 }","other":5,"$audit":{"$impersonatedUser":{"user":"u","db":"a"}}}'
+    assert redact.bold_fields(line) == '{<strong>"nModified":</strong> <strong>4</strong>,<strong>"usedDisk":</strong><strong>true</strong>,<strong>"planSummary":</strong><strong>"IXSCAN { a: 1 }"</strong>,"other":5,<strong>"$audit":{"$impersonatedUser":{"user":"u","db":"a"}</strong>}}'
+
+
 def test_preserved_host_keeps_other_names():
     client = {"mongos": {"host": "db1:27017"}}
     out = red({"attr": {"command": {"$client": client}, "originatingCommand": {"$client": {"mongos": {"host": "atlas-q-shard-00-00.r.mongodb.net"}}}}})
@@ -57,11 +108,21 @@ def test_text_functions(spark):
     row = spark.range(1).select(
         text.format_duration(F.lit(125_000)).alias("a"), text.format_duration(F.lit(90_061_000), days=True).alias("b"), text.truncate(F.lit("abcdefgh"), 6).alias("c"), text.truncate(F.lit("abcdefgh"), 2).alias("d"),
         text.host_of(F.lit("[fe80::1]:27017")).alias("e"), text.host_of(F.lit("h:1")).alias("f"), text.epoch_millis(F.lit("bad")).alias("g"), text.format_planning(F.lit(1500)).alias("h"), text.csv_cell(F.lit('a"b,c')).alias("i"),
-        text.is_truncated(F.lit('{"truncated":{"a":{"errMsg":"x"}}}')).alias("j"), text.query_source(F.lit('{"mongos":1}')).alias("k"), text.truncate_lines(F.lit("abcdef<br>ab"), 5).alias("l"),
+        text.is_truncated(F.lit('{"truncated":{"a":1,"errMsg":"x"}}')).alias("j"), text.query_source(F.lit('{"mongos":1}')).alias("k"), text.truncate_lines(F.lit("abcdef<br>ab"), 5).alias("l"),
     ).first()
     assert list(row) == ["2m 5s", "1d 1h 1m", "abc...", "ab", "[fe80::1]", "h", -1, "1.50ms", '"a""b,c"', True, " (from mongos)", "ab...<br>ab"]
 
 
+@pytest.mark.parametrize(("line", "cut"), [('{"a":[{"b":{"truncated":{"x":{"y":1},"errMsg":"e"}}}]}', True), ('{"truncated":{"x":1},"errMsg":"e"}', False), ('{"truncated": cut "errMsg"', True), ('{"errMsg":1}', False), (None, None)])
+def test_truncated_at_any_depth(spark, line, cut):
+    assert spark.createDataFrame([(line,)], "l string").select(text.is_truncated(F.col("l"))).first()[0] is cut
+
+
+@pytest.mark.parametrize(("ms", "shown"), [(0, "N/A"), (999, "999ms"), (1500, "1.5s"), (3000, "3s"), (12_400, "12s"), (60_000, "1m"), (61_000, "1m 1s"), (3_600_000, "1h"), (7_260_000, "2h 1m"), (90_000_000, "25h")])
+def test_short_lifetimes(spark, ms, shown):
+    assert spark.range(1).select(text.format_lifetime_short(F.lit(ms))).first()[0] == shown
+
+
 def test_compress_plan(spark):
     plan = ", ".join(["IXSCAN { a: 1, b: { c: 1, d: 1 } }"] * 3)
     df = spark.createDataFrame([(plan,), ("COLLSCAN",), (None,)], "p string").select(text.compress_plan(F.col("p")).alias("p"))

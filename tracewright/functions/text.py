@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections import Counter
 
@@ -64,6 +65,16 @@ def format_lifetime(ms: Column) -> Column:
     return F.when(F.coalesce(ms, F.lit(0)) == 0, "N/A").otherwise(format_duration(ms, days=True))
 
 
+def format_lifetime_short(ms: Column) -> Column:
+    """X6 as driver tables show it: N/A, 12ms, 1.5s, 12s, 2m 3s, 1h 2m; what is zero is left out."""
+    seconds = F.floor(ms / 1000)
+    two = lambda big, high, small, low: F.concat(big.cast("string"), F.lit(high), F.when(small > 0, F.concat(F.lit(" "), small.cast("string"), F.lit(low))).otherwise(""))
+    part = lambda size, modulo: (F.floor(ms / size) % modulo).cast("long")
+    short = F.when(F.coalesce(ms, F.lit(0)) == 0, "N/A").when(ms < 1000, F.concat(ms.cast("string"), F.lit("ms")))
+    short = short.when((seconds < 10) & (ms % 1000 > 0), F.format_string("%.1fs", ms / 1000.0)).when(seconds < 60, F.concat(seconds.cast("string"), F.lit("s")))
+    return short.when(seconds < 3600, two(part(60_000, 60), "m", part(1000, 60), "s")).otherwise(two(F.floor(ms / 3_600_000).cast("long"), "h", part(60_000, 60), "m"))
+
+
 def truncate(s: Column, width: int) -> Column:
     """An ellipsis within the width; a hard cut where there is no room for one."""
     return F.when(F.length(s) <= width, s).when(F.lit(width <= 3), F.substring(s, 1, width)).otherwise(F.concat(F.substring(s, 1, max(0, width - 3)), F.lit("...")))
@@ -135,10 +146,34 @@ def fast_time(line: Column) -> Column:
     return F.nullif(F.regexp_extract(line, r'"\$date":"([^"]*)"', 1), F.lit(""))
 
 
+def _holds_truncated(value) -> bool:
+    if isinstance(value, dict):
+        cut = value.get("truncated")
+        return isinstance(cut, dict) and "errMsg" in cut or any(map(_holds_truncated, value.values()))
+    return isinstance(value, list) and any(_holds_truncated(v) for v in value if isinstance(v, dict))
+
+
+def _truncated(line: str | None) -> bool | None:
+    if line is None:
+        return None
+    try:
+        return _holds_truncated(json.loads(line))
+    except ValueError:
+        return True
+
+
 def is_truncated(line: Column) -> Column:
-    """An object ``truncated`` that holds ``errMsg``; by substrings where the line isn't JSON."""
-    nested = line.rlike(r'"truncated"\s*:\s*\{[^}]*"errMsg"')
-    return F.when(F.try_parse_json(line).isNotNull(), nested).otherwise(line.contains('"truncated"') & line.contains('"errMsg"'))
+    """An object ``truncated``, at any depth, that holds ``errMsg``; by substrings where the line isn't JSON.
+
+    Only lines that hold both names are walked through.
+    """
+
+    @F.pandas_udf("boolean")
+    def walked(s: pd.Series) -> pd.Series:
+        return s.map(_truncated, na_action="ignore")
+
+    both = line.contains('"truncated"') & line.contains('"errMsg"')
+    return F.when(line.isNotNull(), F.coalesce(walked(F.when(both, line)), F.lit(False)))
 
 
 def query_source(line: Column) -> Column:
