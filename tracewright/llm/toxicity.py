@@ -25,6 +25,8 @@ kept by ``kept_documents`` and not read.
 from __future__ import annotations
 
 import re
+from collections import Counter
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +44,8 @@ ORDER = 5
 BROADCAST_IDS = 1_000_000
 #: Words of the runs that are judged as spans; one scaling input each, beside the whole document.
 SPANS = (1, 2, 16)
-#: Different tokens that a worker remembers, and different words that a task gathers before it emits them.
-MEMO, GATHERED = 150_000, 100_000
+#: Different tokens that a worker remembers, and that a task gathers before it emits their words.
+MEMO, GATHERED = 400_000, 200_000
 #: Tokens whose spans are judged at once.
 SLICE = 200_000
 FOLDS, HELD_OUT, SCALE_FOLD, THRESHOLD = 5, 0, 4, 0.5
@@ -53,22 +55,9 @@ PIECE = 200
 DISCOUNT = 0.75
 
 
-def letters_of(token: str) -> list[str]:
-    """The words in a token, which is a text's run of characters that aren't white space."""
-    return WORD.findall(token.lower())
-
-
-class Words(dict):
-    """Words of tokens, remembered up to a bound."""
-
-    def __missing__(self, token: str) -> tuple[str, ...]:
-        found = tuple(letters_of(token))
-        if len(self) < MEMO:
-            self[token] = found
-        return found
-
-    def of(self, text: str | None) -> set[str]:
-        return {w for token in {*(text or "").split()} for w in self[token]}
+def words_of(tokens) -> list[str]:
+    """The words in different runs of characters that aren't white space, as often as they stand in them."""
+    return WORD.findall(" ".join(tokens).lower())
 
 
 def pieces(word: str) -> list[str]:
@@ -95,12 +84,13 @@ def _keys(windows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return context, _mix(context * np.uint64(3) + w[5])
 
 
-def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray, missing) -> np.ndarray:
-    """Values of the wanted ones among sorted keys."""
-    if not len(keys):
-        return np.broadcast_to(missing, wanted.shape)
-    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
-    return np.where(keys[at] == wanted, values[at], missing)
+def _looked_up(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Values of the wanted ones among sorted keys, NaN for others; most are wanted many times, and looked up once."""
+    if not len(keys) or not len(wanted):
+        return np.full(len(wanted), np.nan)
+    different, places = np.unique(wanted, return_inverse=True)
+    at = np.minimum(np.searchsorted(keys, different), len(keys) - 1)
+    return np.where(keys[at] == different, values[at], np.nan)[places]
 
 
 def _steps(words: DataFrame) -> DataFrame:
@@ -124,12 +114,14 @@ class Ratios:
         windows = np.lib.stride_tricks.sliding_window_view(codes, ORDER + 1)
         windows = windows[(windows[:, -1] != 0) & (windows[:, -1] != ord("^"))]
         contexts, steps = _keys(windows)
-        ratios = _looked_up(*self.seen, steps, _looked_up(*self.other, contexts, 0.0))
+        ratios = _looked_up(*self.seen, steps)
+        new = np.isnan(ratios)
+        ratios[new] = np.nan_to_num(_looked_up(*self.other, contexts[new]))
         return np.bincount(np.repeat(np.arange(len(words)), [len(w) + 1 for w in words]), ratios, len(words))
 
     def tokens(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Summed evidence of each token's words, and their letters, marks of their ends included."""
-        found = [letters_of(t) for t in tokens]
+        found = [WORD.findall(t) for t in " ".join(tokens).lower().split(" ")] if tokens else []
         flat = [w for own in found for w in own]
         owner = np.repeat(np.arange(len(tokens)), [len(own) for own in found])
         return np.bincount(owner, self.words(flat), len(tokens)), np.bincount(owner, [len(w) + 1 for w in flat], len(tokens))
@@ -153,6 +145,14 @@ class Ratios:
         return np.where(x[:, -1] > 0, 1 / (1 + np.exp(-np.clip(z, -30, 30))), self.prior)
 
 
+class Places(dict):
+    """Numbers of tokens, in the order in which they come."""
+
+    def __missing__(self, token: str) -> int:
+        place = self[token] = len(self)
+        return place
+
+
 class Judge:
     """Evidence of tokens, remembered up to a bound by their places in two growing arrays."""
 
@@ -161,22 +161,18 @@ class Judge:
         self.forget()
 
     def forget(self) -> None:
-        self.places: dict[str, int] = {}
+        self.places = Places()
         self.sums, self.letters = np.zeros(0), np.zeros(0)
 
-    def _learn(self, tokens: list[str]) -> None:
-        new = [*({*tokens} - self.places.keys())]
-        if new:
-            sums, letters = self.model.tokens(new)
-            self.places.update(zip(new, range(len(self.sums), len(self.sums) + len(new))))
-            self.sums, self.letters = np.r_[self.sums, sums], np.r_[self.letters, letters]
-
     def spans(self, texts: list[list[str]]) -> np.ndarray:
         if len(self.places) > MEMO:
             self.forget()
+        known = len(self.places)
         flat = [t for own in texts for t in own]
-        self._learn(flat)
         places = np.fromiter(map(self.places.__getitem__, flat), np.int64, len(flat))
+        if len(self.places) > known:
+            sums, letters = self.model.tokens([*islice(reversed(self.places), len(self.places) - known)][::-1])
+            self.sums, self.letters = np.r_[self.sums, sums], np.r_[self.letters, letters]
         sums, letters = self.sums[places], self.letters[places]
         # tokens without a word are no part of a run
         worded = letters > 0
@@ -198,37 +194,45 @@ class Judge:
         return out
 
 
-def _gathered(rows, schema: str, kinds: dict[str, pa.DataType], spread):
-    """Rows of counts (key..., n) summed within a task, a bounded number of different keys at a time."""
+def _emitted(counts: dict[int, Counter], classes: bool) -> pa.RecordBatch:
+    rows = [(p, t, n) for t, counted in counts.items() for w, n in counted.items() for p in pieces(w)]
+    columns = [*zip(*rows)] or [(), (), ()]
+    names, kinds = ["piece", "toxic", "n"], (pa.string(), pa.int32(), pa.int64())
+    chosen = range(3) if classes else range(1)
+    return pa.RecordBatch.from_arrays([pa.array(columns[i], kinds[i]) for i in chosen], [names[i] for i in chosen])
 
-    def run(batches):
-        memo, found = Words(), {}
-        for batch in batches:
-            for row in zip(*(batch.column(i).to_pylist() for i in range(batch.num_columns))):
-                for key in spread(memo, *row):
-                    found[key] = found.get(key, 0) + 1
-                if len(found) >= GATHERED:
-                    yield _counted(found, kinds)
-                    found = {}
-        if found:
-            yield _counted(found, kinds)
 
-    return in_arrow(rows, run, schema)
+def _corpus_words(batches):
+    """Pieces of the different words of all texts, those of a bounded number of tokens at a time."""
+    tokens: set[str] = set()
+    for batch in batches:
+        for text in batch.column(0).to_pylist():
+            tokens.update((text or "").split())
+            if len(tokens) >= GATHERED:
+                yield _emitted({0: Counter({*words_of(tokens)})}, classes=False)
+                tokens = set()
+    yield _emitted({0: Counter({*words_of(tokens)})}, classes=False)
 
 
-def _counted(found: dict, kinds: dict[str, pa.DataType]) -> pa.RecordBatch:
-    columns = [*zip(*found), tuple(found.values())]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds.values())], list(kinds))
+def _class_words(batches):
+    """Pieces of words and classes, with the number of texts of the class that hold the word."""
+    counts = {0: Counter(), 1: Counter()}
+    for batch in batches:
+        for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            counts[toxic].update({*words_of({*(text or "").split()})})
+            if len(counts[toxic]) >= GATHERED:
+                yield _emitted(counts, classes=True)
+                counts = {0: Counter(), 1: Counter()}
+    yield _emitted(counts, classes=True)
 
 
 def corpus_continuations(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """Of wanted (h, c): how many distinct longer contexts of the whole corpus continue h by c, and h's sums."""
-    kinds = {"piece": pa.string(), "n": pa.int64()}
-    words = _gathered(documents.select("text"), "piece string, n long", kinds, lambda memo, text: ((p,) for w in memo.of(text) for p in pieces(w)))
-    full = _steps(words.select("piece").distinct()).distinct()
+    words = in_arrow(documents.select("text"), _corpus_words, "piece string")
+    full = _steps(words.distinct()).distinct()
     # every shorter context of a step is continued once for each distinct full one
     lower = full.withColumn("k", F.explode(F.sequence(F.lit(0), F.length("h") - 1))).select(F.expr("substring(h, length(h) - k + 1, k)").alias("h"), "c")
-    counts = lower.groupBy("h", "c").agg(F.count("*").alias("n"))
+    counts = checkpointed(lower.groupBy("h", "c").agg(F.count("*").alias("n")))
     sums = counts.groupBy("h").agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
     return counts.join(wanted, ["h", "c"], "left_semi").join(sums, "h")
 
@@ -251,9 +255,8 @@ def _joined(documents: DataFrame, ids: DataFrame) -> DataFrame:
 def class_counts(documents: DataFrame, rows: DataFrame) -> DataFrame:
     """h, c, and of each class how many distinct words of distinct counted texts hold the spelling: n0, n1."""
 
-    schema, kinds = "piece string, toxic int, n long", {"piece": pa.string(), "toxic": pa.int32(), "n": pa.int64()}
     counted = _joined(documents, rows.filter("NOT scales")).select("text", "toxic")
-    words = _gathered(counted, schema, kinds, lambda memo, text, toxic: ((p, toxic) for w in memo.of(text) for p in pieces(w)))
+    words = in_arrow(counted, _class_words, "piece string, toxic int, n long")
     of = lambda k: F.sum(F.when(F.col("toxic") == k, F.col("n")).otherwise(0)).alias(f"n{k}")
     by_word = words.groupBy("piece").agg(of(0), of(1))
     return checkpointed(_steps(by_word).groupBy("h", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")))
