@@ -273,3 +273,308 @@ def test_html_keeps_articles_in_marked_elements():
         assert html_extract.extract(page, weights) == text, page
     assert html_extract.extract(f"<p>{text}</p><script>var a = 1", weights) == text
     assert html_extract.extract(f'<div class="big sidebar"><p>{text}</p></div>', weights) == ""
+
+
+# --- rows that are repeated, empty, very long or oddly named -------------------------------------------------
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, component_id string, best string, directory string, near string, dir string, shard string, taken string, kinds string, n string, digest string, label string, block string, draw string"
+
+
+def odd_documents(spark, rows):
+    """Documents beside columns whose names the operators use themselves."""
+    return spark.createDataFrame([(i, t, "en", "s", 0, *(["clash"] * 13)) for i, t in rows], ODD)
+
+
+def test_mix_of_repeated_rows_keeps_limits(spark):
+    docs = odd_documents(spark, [(1, "w " * 40)] * 6 + [(2, "w " * 10), (1, "v " * 7), (None, "x y"), (None, None)])
+    rows = mixing.mix_digests(docs).collect()
+    assert len(rows) == 10 and all(0 <= r.taken <= 2 * r.size for r in rows)
+    assert abs(sum(r.taken for r in rows) - rows[0].target) <= 6 and {r.draws for r in rows if r.size == 0} == {0}
+    whole = mixing.mixed_documents(docs)
+    assert whole.columns == docs.columns and whole.first().taken == "clash"
+
+
+def test_mix_takes_what_shards_own(spark):
+    docs = documents(spark, ["word " * (i % 40 + 1) for i in range(90)], ["abc"[i % 3] for i in range(90)])
+    sized = mixing.sized_documents(docs)
+    made = mixing.plan(sized, shard_words=100)
+    owned = made.shards.collect()
+    assert len({(r.source, r.draw) for r in owned}) == len(owned) == made.blocks and len({r.shard for r in owned}) > 1
+    lost = owned[0]
+    made.shards = made.shards.filter(~((F.col("source") == lost.source) & (F.col("draw") == lost.draw)))
+    taken = lambda m: m.filter("shard IS NOT NULL").agg(F.sum("taken")).first()[0]
+    assert taken(mixing.mixture(sized, made)) < taken(mixing.mixture(sized, mixing.plan(sized, shard_words=100)))
+
+
+def test_jaccard_keeps_all_texts_of_an_id(spark):
+    a, b = ([f"{x}{i}" for i in range(40)] for x in "ab")
+    near = lambda words: " ".join([*words[:-1], "other"])
+    docs = odd_documents(spark, [(5, " ".join(a)), (5, " ".join(b)), (6, near(a)), (7, near(b)), (8, "alone in the world it is"), (8, ""), (5, None), (None, " ".join(a))])
+    rows = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(docs).collect()), key=repr)
+    assert rows == sorted([(5, 36, 5), (5, 36, 5), (5, 0, 5), (6, 36, 5), (7, 36, 5), (8, 2, 8), (8, 0, 8), (None, 36, None)], key=repr)
+    kept = jaccard.deduplicated(docs)
+    assert kept.columns == docs.columns and sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, " ".join(a)), (5, " ".join(a)), (8, "")]
+
+
+@pytest.mark.parametrize("bits", [17, 20])
+def test_jaccard_of_many_ranges(spark, monkeypatch, bits):
+    """As with a corpus of 2**36 shingles and more, where a range's number leaves less than 48 bits of a hash."""
+    monkeypatch.setattr(jaccard, "LEAST_RANGE_BITS", bits)
+    random.seed(9)
+    base = [" ".join(random.choice("abcdefgh") + str(random.randrange(50)) for _ in range(30)) for _ in range(6)]
+    texts = base + [f"{t} more" for t in base]
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.jaccard_classes(documents(spark, texts)).collect()}
+    assert found == brute_classes(texts)
+
+
+def test_bpe_of_repeated_long_and_empty(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    long = "palabras y números 123 " * 40_000 + "z" * 5000
+    docs = odd_documents(spark, [(1, "a b"), (1, "a b"), (None, None), (2, long)])
+    rows = {(r.doc_id, r.n_tokens) for r in bpe.bpe_digests(docs, path).collect()}
+    assert rows == {(1, 2), (None, 0), (2, len(library.encode(long, add_special_tokens=False).ids))}
+    assert bpe.bpe_digests(docs.limit(0), path).collect() == [] and bpe.bpe_digests(docs, path).count() == 4
+
+
+def test_chat_of_long_and_no_conversations(spark):
+    schema = "conv_id long, turn long, role string, text string, path string, salt string, rows string"
+    turns = spark.createDataFrame([(1, t, "assistant", "x" * 2000, "clash", "clash", "clash") for t in range(1500)] + [(None, 0, "user", "a", "", "", ""), (None, 1, "assistant", "b", "", "", "")], schema)
+    found = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.chat_digests(chat.chat_packs(turns)).collect()}
+    assert found == {1: (1500, 3_000_000), None: (2, 1)}
+    assert chat.chat_digests(chat.chat_packs(turns.limit(0))).collect() == []
+
+
+def brute_region(values):
+    best, span = 0.0, (0, 0)
+    for i in range(len(values)):
+        for j in range(i + 1, len(values) + 1):
+            if sum(values[i:j]) > best + 1e-9:
+                best, span = sum(values[i:j]), (i, j)
+    return best, span
+
+
+def test_html_region_is_the_best_one():
+    random.seed(10)
+    for _ in range(300):
+        values = [random.choice((-3.0, -1.0, 0.0, 0.5, 2.0)) for _ in range(random.randrange(25))]
+        a, b = html_extract.best_region(values)
+        assert sum(values[a:b]) == pytest.approx(brute_region(values)[0])
+
+
+def test_html_attributes_as_browsers_read_them():
+    weights = html_extract.weights_of(Counter())
+    text = "these are the words of a paragraph that stands here as a whole"
+    for page in (f'<p title="5 o\'clock>{text}</p>', f"<p title=it's>{text}</p>", f'<p data-x = "a > b">{text}</p>', f"<p a='>' b=\"'\">{text}</p>", f'<p x="1"y="2">{text}</p>', f'<p "odd>{text}</p>'):
+        assert html_extract.extract(page, weights) == text, page
+    many = '<p title="5 o\'clock>word</p>' * 20_000
+    assert html_extract.extract(many, weights)
+
+
+def test_html_pages(spark):
+    page = "<nav>menu entries here</nav><article><p>The words of the article stand here.</p></article>"
+    schema = "page_id long, url string, html string, text string, n_chars string, feature string"
+    pages = spark.createDataFrame([(1, "u", page, "clash", "clash", "clash"), (1, "u", page, "", "", ""), (2, None, None, "", "", ""), (None, "v", "", "", "", ""), (3, "w", "<article>" + "<p>long words of text</p>" * 30_000 + "</article>", "", "", "")], schema)
+    rows = [(r.page_id, r.url, r.text[:36], r.n_chars) for r in html_extract.extract_pages(pages, html_extract.fit_weights(pages)).collect()]
+    said = "The words of the article stand here."
+    assert sorted(rows, key=repr) == sorted([(1, "u", said, 36), (1, "u", said, 36), (2, None, "", 0), (None, "v", "", 0), (3, "w", "long words of text\nlong words of tex", 30_000 * 19 - 1)], key=repr)
+    nothing = pages.limit(0)
+    assert html_extract.extract_pages(nothing, html_extract.fit_weights(nothing)).collect() == []
+
+
+def test_top_k_of_repeated_ids_and_without_candidates(spark):
+    schema = "id long, vector array<long>, grp string, dim string"
+    vectors = spark.createDataFrame([(50, [1, 0], "", ""), (7, [3, 0], "", ""), (7, [3, 0], "", ""), (9, [2], "", ""), (None, [9, 9], "", "")], schema)
+    rows = [(r.query_id, r["rank"], r.vec_id, r.score) for r in topk.exact_top_k(vectors.filter("id = 50"), vectors, 5).collect()]
+    assert sorted(rows) == [(50, 1, 7, 3), (50, 2, 7, 3)]
+    assert topk.exact_top_k(vectors.filter("id = 50"), vectors.filter("id = 9"), 5).collect() == [] == topk.exact_top_k(vectors.limit(0), vectors.limit(0), 5).collect()
+
+
+def test_class_prior_from_positives_and_unlabelled():
+    random = np.random.default_rng(3)
+    for share in (0.2, 0.5, 0.9):
+        make = lambda n, mean: random.normal(mean, 0.1, (n, quality.FEATURES))
+        unlabelled = np.r_[make(int(1500 * share), 0.8), make(int(1500 * (1 - share)), 0.2)]
+        assert quality.estimated_prior(make(800, 0.8), unlabelled) == pytest.approx(share, abs=0.08)
+
+
+def test_quality_counts_lone_signs_in_long_texts():
+    place = [i for i, (a, b) in enumerate(zip(quality.features("word " * 9 + "##"), quality.features("word " * 9 + "word"))) if a != b]
+    short, long = (quality.features(" ".join([f"w{i}x" for i in range(9 * k)] + ["##"] * k)) for k in (1, 30))
+    assert 7 in place and short[7] == pytest.approx(0.1) and long[7] == pytest.approx(0.1)
+
+
+@pytest.mark.parametrize("operator", [quality, toxicity])
+def test_classifiers_of_odd_rows(spark, operator):
+    score = quality.score_quality if operator is quality else toxicity.score_toxicity
+    good, bad = "the words of a plain text", "ZORK!! " * 12
+    rows = [(i, f"{good} {i % 50}" if i % 2 else f"{bad} {i % 50}") for i in range(200)]
+    docs = odd_documents(spark, [*rows, (1, good), (None, good), (None, None), (900, ""), (901, "plain " * 200_000)])
+    label = [(i, i % 2, 1 - i % 2) for i in range(0, 200) if i % 5] + [(1, 1, 0), (None, 1, 1), (3, None, None)]
+    labels = spark.createDataFrame(label, "doc_id long, quality int, toxic int")
+    first = sorted(map(tuple, score(docs, labels).collect()), key=repr)
+    assert len(first) == 205 and first == sorted(map(tuple, score(docs.repartition(7), labels).collect()), key=repr)
+    assert all(0 <= r[2] <= 1 for r in first) and {r[1] for r in first if r[0] is None} == {False}
+    assert score(docs.limit(0), labels).collect() == []
+    kept = operator.kept_documents(docs, labels)
+    assert kept.columns == docs.columns and kept.first().best == "clash"
+
+
+def test_quality_without_unlabelled_rows(spark):
+    docs = odd_documents(spark, [(i, f"plain words of a text {i}" if i % 2 else "ZORK!! " * 9 + str(i)) for i in range(80)])
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(80)], "doc_id long, quality int, toxic int")
+    assert sum(r.predicted == r.doc_id % 2 for r in quality.score_quality(docs, labels).collect()) >= 76
+    assert quality.kept_documents(docs, labels.limit(0)).count() == 80
+
+
+def test_toxicity_spells_words_of_any_length(spark):
+    """Steps of long words, cut in pieces, are those of the whole word."""
+    long = "ab" * 500 + "c"
+    want = Counter()
+    for word in (long, "abc"):
+        marked = f"^{word}$"
+        want.update({(marked[max(0, i - toxicity.ORDER) : i], marked[i]): 1 for i in range(1, len(marked))} if word != long else Counter((marked[max(0, i - toxicity.ORDER) : i], marked[i]) for i in range(1, len(marked))))
+    docs = documents(spark, [f"{long} abc"])
+    rows = spark.createDataFrame([(0, 1, False)], "doc_id long, toxic int, scales boolean")
+    assert {(r.h, r.c): r.n1 for r in toxicity.class_counts(docs, rows).collect()} == dict(want)
+
+
+def test_toxicity_spans_equal_brute_force():
+    values = {"a": 1.0, "bb": -2.0, "ccc": 4.0, "1": 0.0}
+
+    class Fixed(toxicity.Ratios):
+        def words(self, words):
+            return np.array([values[w] for w in words])
+
+    nothing = np.zeros(0, np.uint64), np.zeros(0)
+    model = Fixed(nothing, nothing, 0.5)
+    random.seed(11)
+    texts = [" ".join(random.choice(list(values)) for _ in range(random.randrange(40))) for _ in range(60)] + ["", None, "1 1"]
+    found = model.evidence(texts, toxicity.Judge(model))
+    for text, row in zip(texts, found, strict=True):
+        own = [(values[w], len(w) + 1) for w in (text or "").split() if w != "1"]
+        if not own:
+            assert row.tolist() == [0.0] * len(row)
+            continue
+        rate = lambda part: sum(v for v, _ in part) / sum(n for _, n in part)
+        runs = [max(rate(own[i : i + k]) for i in range(max(1, len(own) - k + 1))) for k in toxicity.SPANS]
+        assert row.tolist() == pytest.approx([rate(own), *runs, 1.0])
+
+
+def test_license_scan_keeps_odd_columns(spark):
+    files = spark.createDataFrame([(1, "x/LICENSE", "Released under the MIT License.", "a", "b", "c", "d"), (2, "x/y", "code " * 300_000, "a", "b", "c", "d"), (2, "x/y", None, "a", "b", "c", "d")], "doc_id long, path string, text string, best string, directory string, near string, license string")
+    found = licenses.license_scan(files)
+    assert found.columns == ["doc_id", "path", "best", "directory", "near", *licenses.RESULTS]
+    assert {(r.doc_id, r.best, r.directory, r.near, r.license, r.inherited_from) for r in found.collect()} == {(1, "a", "b", "c", "MIT", None), (2, "a", "b", "c", "MIT", "x")}
+
+
+def cosine(line, weights, others):
+    """The best license of one segment by the definition: TF-IDF cosine to every template."""
+    own = licenses.terms_of(line)
+    weight = lambda t: weights[t] if t in weights else others[t]
+    vector = {t: c * weight(t) for t, c in own.items()}
+    scored = []
+    for place, (name, terms) in enumerate(licenses._TEXTS):
+        template = {t: c * weights[t] for t, c in terms.items()}
+        norm = sum(x * x for x in vector.values()) ** 0.5 * sum(x * x for x in template.values()) ** 0.5
+        scored.append((round(sum(vector.get(t, 0) * x for t, x in template.items()) / norm, 6) if norm else 0.0, -place, name))
+    score, _, name = max(scored)
+    return (name, score) if score >= licenses.THRESHOLD else (None, None)
+
+
+def test_license_scores_equal_brute_force(spark):
+    lines = ["Released under the MIT License.", "Licensed under CC BY 4.0 by us all", "This work is licensed under the GNU General Public License, version 2.", "Mozilla Public License Version 2.0 and others", "the license of a driver", "plain words"]
+    files = spark.createDataFrame([(i, f"d/{i}.txt", line) for i, line in enumerate(lines)], "doc_id long, path string, text string")
+    weights, total = licenses.idf(files, "text")
+    held = Counter(t for line in lines for t in set(licenses.terms_of(line)))
+    others = {t: float(np.log((1 + total) / (1 + n)) + 1) for t, n in held.items()}
+    found = {r.doc_id: (r.own_license, r.own_score) for r in licenses.license_scan(files).collect()}
+    for i, line in enumerate(lines):
+        name, score = cosine(line, weights, others)
+        assert found[i][0] == name and (score is None or found[i][1] == pytest.approx(score, abs=2e-6)), line
+
+
+def big_endian_tiff(rows, width, compression, data, extra=()):
+    """A file of one strip, written field by field in the other byte order."""
+    import struct
+
+    fields = sorted([(256, 3, width), (257, 3, rows), (258, 3, 8), (259, 3, compression), (262, 3, 1), (273, 4, 8), (277, 3, 1), (278, 3, rows), (279, 4, len(data)), *extra])
+    at = 8 + len(data) + len(data) % 2
+    entries = b"".join(struct.pack(">HHI", tag, kind, 1) + (struct.pack(">HH", value, 0) if kind == 3 else struct.pack(">I", value)) for tag, kind, value in fields)
+    return struct.pack(">2sHI", b"MM", 42, at) + data + b"\0" * (len(data) % 2) + struct.pack(">H", len(fields)) + entries + struct.pack(">I", 0)
+
+
+def packed_codes(codes, width=9):
+    bits = "".join(f"{c:0{width}b}" for c in codes)
+    return bytes(int(bits[i : i + 8].ljust(8, "0"), 2) for i in range(0, len(bits), 8))
+
+
+def test_tiff_of_other_writers():
+    read = lambda *a, **k: [p.tolist() for p in media.decode_tiff(big_endian_tiff(*a, **k))]
+    assert read(2, 3, 1, bytes(range(6))) == [[[0, 1, 2], [3, 4, 5]]]
+    # codes after a clear: 7, then 258 = 7 7, then 8, 8, 258, 6, 6, end
+    assert read(1, 9, 5, packed_codes([256, 7, 258, 8, 8, 258, 6, 6, 257])) == [[[7, 7, 7, 8, 8, 7, 7, 6, 6]]]
+    assert read(1, 24, 32773, bytes([254, 170, 2, 128, 0, 42, 253, 170, 3, 128, 0, 42, 34, 247, 170])) == [[[170] * 3 + [128, 0, 42] + [170] * 4 + [128, 0, 42, 34] + [170] * 10]]
+    assert read(1, 4, 8, zlib.compress(bytes([5, 1, 255, 2])), extra=[(317, 3, 2)]) == [[[5, 6, 5, 7]]]
+
+
+def test_tiff_files_that_are_refused(spark):
+    good = big_endian_tiff(1, 4, 8, zlib.compress(b"abcd"))
+    bad = {
+        1: big_endian_tiff(1, 4, 8, zlib.compress(b"abcd"), [(317, 3, 3)]),
+        2: big_endian_tiff(1, 4, 1, b"abcd", [(266, 3, 2)]),
+        3: big_endian_tiff(60_000, 60_000, 8, zlib.compress(b"abcd")),
+        4: big_endian_tiff(1, 4, 1, b"abcd", [(322, 3, 0), (323, 3, 0), (324, 4, 8), (325, 4, 4)]),
+        5: big_endian_tiff(1, 4, 5, packed_codes([256, 7, 400, 257])),
+        6: good[:20], 7: b"", 8: b"II*\0" + b"\xff" * 8, 9: big_endian_tiff(2, 4, 1, b"abcd"),
+        10: big_endian_tiff(1, 4, 1, b"abcd", [(322, 3, 60_000), (323, 3, 60_000), (324, 4, 8), (325, 4, 4)]),
+    }
+    table = spark.createDataFrame([(0, bytearray(good)), *((k, bytearray(v)) for k, v in bad.items()), (11, None)], "id long, m binary")
+    rows = media.tiff_pages(table, "id", "m").collect()
+    assert {r.key for r in rows if r.error} == set(bad) and [r.pixels for r in rows if r.error is None] == [bytearray(b"abcd")]
+    digests = media.media_digests(table.selectExpr("id AS doc_id", "1L AS n_bytes", "m AS media")).collect()
+    assert {r.doc_id for r in digests if r.payload_sha256 is None} == {*bad, 11} and all(r.feature.startswith("error=") for r in digests if r.doc_id)
+
+
+def test_media_in_every_form(spark):
+    texts = [f"text {i} " * (i % 7 * 90) for i in range(90)] + ["long " * 300_000]
+    rows = {r.doc_id: r for r in media.media_digests(media.text_media(odd_documents(spark, [*enumerate(texts), (5, texts[5])]))).collect()}
+    forms = {zlib.crc32(media.payload_of(t)[1]) % 16 for t in texts}
+    assert {0, 1, 2, 3, 4} <= forms and len(rows) == 91
+    assert all(rows[i].payload_sha256 == hashlib.sha256(media.payload_of(t)[1]).hexdigest() for i, t in enumerate(texts))
+
+
+def test_pipeline_stages_in_order(spark, tmp_path):
+    """All five stages on rows with nulls, repeats, copies and clashing names: what is rejected goes, and what is kept is whole."""
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    random.seed(12)
+    words = [a + b for a in "bcdfg" for b in ("an", "elo", "irst", "oud")]
+    plain = lambda: " ".join(random.choice(words) + random.choice(words) for _ in range(40))
+    kinds = ["bad" if i % 5 == 0 else "toxic" if i % 5 == 1 else "clean" for i in range(400)]
+    make = {"bad": lambda: " ".join(w.upper() + "!!" for w in plain().split()), "toxic": lambda: plain() + " zorkan zorkelo", "clean": plain}
+    texts = [make[k]() for k in kinds]
+    copy = texts[2]
+    rows = [*enumerate(texts), (500, copy), (501, f"{copy} end"), (2, copy), (None, plain()), (502, None), (503, "")]
+    odd_documents(spark, rows).write.parquet(str(tmp_path / "documents.parquet"))
+    labels = [(i, int(k != "bad"), int(k == "toxic")) for i, k in enumerate(kinds) if i % 3]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    names = [name for name, _ in corpus_pipeline.STAGES]
+    assert names == ["quality", "toxicity", "jaccard", "mixing", "bpe"]
+    ids = {}
+    for name, stage in corpus_pipeline.STAGES:
+        out = stage(spark, docs, str(tmp_path))
+        if name != "bpe":
+            assert out.columns == docs.columns
+        out.write.parquet(str(tmp_path / name))
+        docs = spark.read.parquet(str(tmp_path / name))
+        ids[name] = [r.doc_id for r in docs.collect()]
+    clean = {i for i, k in enumerate(kinds) if k == "clean"}
+    assert len(clean - set(ids["quality"])) <= 4 and sum(kinds[i] == "bad" for i in set(ids["quality"]) if i is not None and i < 400) <= 4
+    assert len((clean & set(ids["quality"])) - set(ids["toxicity"])) <= 4 and sum(kinds[i] == "toxic" for i in set(ids["toxicity"]) if i is not None and i < 400) <= 8
+    assert {500, 501} & set(ids["jaccard"]) == set() and ids["jaccard"].count(2) == 1
+    assert set(ids["jaccard"]) == {brute for brute in set(ids["toxicity"]) if brute not in (500, 501)}
+    assert set(ids["mixing"]) <= set(ids["jaccard"]) and max(Counter(ids["mixing"]).values()) <= 2
+    assert sorted(map(str, ids["bpe"])) == sorted(map(str, ids["mixing"]))
+    ran = corpus_pipeline.run(spark, str(tmp_path))
+    assert sorted(map(tuple, ran.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)

@@ -374,7 +374,7 @@ def jaccard_classes(documents: DataFrame) -> DataFrame:
     several = _repeated_ids(described, stands)
     classes = connected_components(found if several is None else found.unionByName(several))
     of_sets = checkpointed(stands.join(classes, F.col("rep") == F.col("node"), "left").select("digest", F.coalesce("component", "rep").alias("class")))
-    rows = described.join(of_sets, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class", "doc_id").alias("component_id"))
+    rows = described.join(of_sets, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("class", "doc_id")).alias("component_id"))
     if several is None:
         return rows
     # an empty text of such a doc_id belongs to its node as well

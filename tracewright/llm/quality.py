@@ -113,8 +113,9 @@ class Network:
         self.scale = scaling(z[:, None], target)
 
     def score(self, x: np.ndarray) -> np.ndarray:
+        """Rounded, for the last digits of a product depend on how rows are batched."""
         a, b = self.scale
-        return 1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -30, 30)))
+        return np.round(1 / (1 + np.exp(-np.clip(a * self.raw(x) + b, -30, 30))), 9)
 
 
 def scaling(x: np.ndarray, target: np.ndarray, weight: np.ndarray | None = None, rounds: int = 60) -> tuple[float, ...]:
