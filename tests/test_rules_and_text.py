@@ -135,3 +135,15 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "a.log").write_text('{"t":{"$date":"2024"},"c":"COMMAND","attr":{"lsid":{"id":1},"a":1}}\n{"c":"STORAGE"}\n')
     main(["trim", "-f", str(tmp_path / "a.log"), str(tmp_path / "none.log"), "--stdout"])
     assert capsys.readouterr().out.splitlines() == ['{"t":{"$date":"2024"},"c":"COMMAND","attr":{"a":1}}', f"skipped: {tmp_path / 'none.log'}"]
+
+
+def test_report_command(spark, tmp_path, capsys):
+    from tracewright.__main__ import main
+
+    line = '{"t":{"$date":"2024-01-01T00:00:00.000Z"},"c":"COMMAND","ctx":"conn1","msg":"Slow query","attr":{"ns":"d.c","command":{"find":"c"},"durationMillis":7}}'
+    (tmp_path / "a.log").write_text(f'{line}\n{{"find": broken "find":\n')
+    main(["report", "-f", str(tmp_path / "a.log"), "--json", str(tmp_path / "r.json"), "--json-only", "--text", "--verbose", "-c", str(tmp_path / "csv"), "--appNameStats"])
+    spark.sparkContext.setLogLevel("ERROR")
+    out = capsys.readouterr()
+    assert "main_operations: 1 groups, 1 in all" in out.out and "appname_connections: 1 groups, 1 in all" in out.out and "json:" in out.err
+    assert json.loads((tmp_path / "r.json").read_text())["run_stats"][0]["parseErrors"] == 1 and (tmp_path / "csv").is_dir() and not (tmp_path / "report.html").exists()

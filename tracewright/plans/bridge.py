@@ -17,7 +17,8 @@ from ..scratch import file_system, new_folder
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table, dealt out for rendering: small files are read by one task."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet").repartition(spark.sparkContext.defaultParallelism)
 
 
 def _lines(df: DataFrame, file: Column, number: Column, value: Column) -> DataFrame:
@@ -149,13 +150,29 @@ def transaction_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def noise_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ignored lines of eight kinds, lines that aren't JSON, and lines without attributes."""
+    """Ignored lines of every category, lines that aren't JSON, and lines without attributes."""
     c = F.col("c_custkey")
-    kinds = ['{"c":"NETWORK","msg":"x"}', '{"c":"STORAGE","msg":"x"}', '{"c":"REPL","hello":1}', '{"c":"REPL","replSetHeartbeat":"rs"}', '{"listDatabases":1,"$db":"admin"}', "plain text", '{"find": broken "find":', '{"msg":"nothing here"}']
-    value = F.element_at(F.array(*map(F.lit, kinds)), (c % 8 + 1).cast("int"))
+    kinds = [
+        '{"c":"NETWORK","msg":"x"}', '{"c":"STORAGE","msg":"x"}', '{"c":"REPL","hello":1}', '{"c":"REPL","replSetHeartbeat":"rs"}', '{"listDatabases":1,"$db":"admin"}', "plain text", '{"find": broken "find":', '{"msg":"nothing here"}',
+        '{"c":"ACCESS","msg":"x"}', '{"c":"CONTROL","msg":"x"}', '{"isMaster":1}', '{"ping":1,"$db":"local"}', '{"ping":1,"$db":"config"}', '{"ping":1,"profile":2}', '{"ctx":"TTLMonitor","msg":"x"}', '{"ping":1}',
+    ]
+    value = F.element_at(F.array(*map(F.lit, kinds)), (c % 16 + 1).cast("int"))
     return _lines(_table(spark, sf_dir, "customer"), F.lit("noise.log"), c, value)
 
 
+def command_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Commands of all kinds, one of them unknown."""
+    c = F.col("c_custkey")
+    commands = [
+        '{"findAndModify":"orders"}', '{"getMore":123,"collection":"carts"},"originatingCommand":{"pipeline":[{"$changeStream":{}}]}', '{"getMore":123,"collection":"carts"},"originatingCommand":{"filter":{"a":1}}', '{"count":"orders","q":{"c":1}}', '{"distinct":"orders"}',
+        '{"aggregate":1}', '{"drop":"old"}', '{"createIndexes":"x"}', '{"_shardsvrMovePrimary":"x"}', '{"foo":1}', '{"aggregate":"orders","pipeline":[{"$limit":1},{"$match":{"b":1}}]}',
+    ]
+    command = F.element_at(F.array(*map(F.lit, commands)), (c % 11 + 1).cast("int"))
+    head = '{"c":"COMMAND","ctx":"conn1","msg":"Slow query","attr":{"ns":"shop.base","durationMillis":'
+    value = F.concat(F.lit(head), (c % 100).cast("string"), F.lit(',"command":'), command, F.lit("}}"))
+    return _lines(_table(spark, sf_dir, "customer"), F.lit("commands.log"), c, value)
+
+
 def connection_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each customer a connection: metadata, mostly an authentication (before or after) and an end."""
     c = F.col("c_custkey")
@@ -188,5 +205,5 @@ def copied_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 RENDERERS = {
     "events": event_lines, "sharded": lambda spark, sf_dir: event_lines(spark, sf_dir, sharded=True), "writes": write_lines, "ttl": ttl_lines,
-    "transactions": transaction_lines, "noise": noise_lines, "connections": connection_lines, "copies": copied_lines,
+    "transactions": transaction_lines, "noise": noise_lines, "commands": command_lines, "connections": connection_lines, "copies": copied_lines,
 }

@@ -135,6 +135,11 @@ def duration(m: str = "m") -> str:
 
 BRAND = "replace(p_brand, '#', '')"
 
+COMMANDS = """WITH cmd AS (
+  SELECT c_custkey % 11 AS k, (c_custkey % 100)::BIGINT AS ms, ['findAndModify', 'getMore', 'getMore', 'count', 'distinct', 'aggregate', 'command', 'command', 'command', NULL, 'aggregate'][c_custkey % 11 + 1] AS op,
+    ['orders', 'carts', 'carts', 'orders', 'orders', 'base', 'base', 'base', 'base', NULL, 'orders'][c_custkey % 11 + 1] AS coll,
+    ['findAndModify', 'getMore', 'getMore', 'count', 'distinct', 'aggregate', 'drop', 'createIndexes', 'shard__shardsvrMovePrimary', NULL, 'aggregate'][c_custkey % 11 + 1] AS label FROM customer)"""
+
 ORACLES: dict[str, str] = {
     "scan_files": """WITH f(name, shard, node) AS (VALUES ('a/db-shard-07-01.log', '07', '01'), ('b/db-shard-07-01.log', '07', '01'), ('mongod.log.gz', NULL, NULL), ('logs.zip!in/mongod.log', NULL, NULL), ('logs.zip!mongod.log.gz', NULL, NULL)),
   n AS (SELECT n_nationkey::BIGINT AS d FROM nation ORDER BY n_nationkey LIMIT 20)
@@ -199,9 +204,12 @@ SELECT label, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*))
   CASE WHEN p_partkey % 7 = 0 AND p_partkey % 4 = 1 THEN 'remove' WHEN p_partkey % 7 = 0 THEN 'command' ELSE CASE p_partkey % 4 WHEN 0 THEN 'update_w' WHEN 1 THEN 'remove' WHEN 2 THEN 'insert' ELSE 'command' END END AS op,
   CASE WHEN p_partkey % 7 <> 0 AND p_partkey % 5 <> 0 THEN 'app' || (p_partkey % 3) END AS "appName", p_size::BIGINT AS dur FROM part)
 SELECT db, coll, op, "appName", count(dur) AS count, min(dur) AS "minMs", max(dur) AS "maxMs", round({p95("dur")}, 6) AS "p95Ms", {quotient(RET, "count(dur)")} AS "avgReturned" FROM w GROUP BY ALL""",
-    "ignored_categories": """SELECT CASE c_custkey % 8 WHEN 0 THEN 'NETWORK' WHEN 1 THEN 'STORAGE' WHEN 2 THEN 'HEALTH_CHECK' WHEN 3 THEN 'REPLICATION' WHEN 4 THEN 'ADMIN_DB' ELSE 'NON_JSON' END AS category, count(*) AS count,
-  round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM customer WHERE c_custkey % 8 < 6 GROUP BY 1""",
-    "run_stats": """WITH n AS (SELECT count(*) AS c, count(*) FILTER (WHERE c_custkey % 8 < 6) AS i, count(*) FILTER (WHERE c_custkey % 8 = 6) AS p, count(*) FILTER (WHERE c_custkey % 8 = 7) AS a FROM customer), e AS (SELECT count(*) AS c, count(*) FILTER (WHERE user_id % 31 = 7) AS f FROM events), t AS (SELECT count(*) AS c FROM part)
+    "ignored_categories": """WITH k AS (SELECT ['NETWORK', 'STORAGE', 'HEALTH_CHECK', 'REPLICATION', 'ADMIN_DB', 'NON_JSON', NULL, NULL, 'ACCESS', 'CONTROL', 'HEALTH_CHECK', 'LOCAL_DB', 'CONFIG_DB', 'PROFILING', 'TTL_MONITOR', 'OTHER'][c_custkey % 16 + 1] AS category FROM customer)
+SELECT category, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM k WHERE category IS NOT NULL GROUP BY category""",
+    "command_operations": f"""{COMMANDS} SELECT 'shop' AS db, coll, CASE WHEN k = 1 THEN 'getMore (change stream)' ELSE op END AS op, count(*) AS count, min(ms) AS "minMs", max(ms) AS "maxMs" FROM cmd WHERE op IS NOT NULL GROUP BY ALL""",
+    "command_labels": f"""{COMMANDS} SELECT label, count(*) AS count, round(count(*) * 100.0::DOUBLE / sum(count(*)) OVER (), 6) AS pct FROM cmd WHERE label IS NOT NULL GROUP BY label""",
+    "command_filters": f"""{COMMANDS} SELECT op, CASE k WHEN 2 THEN '{{"a":1}}' WHEN 3 THEN '{{"c":1}}' WHEN 10 THEN '{{"b":1}}' END AS "sanitizedFilter", count(*) AS count FROM cmd WHERE op IS NOT NULL GROUP BY ALL""",
+    "run_stats": """WITH n AS (SELECT count(*) AS c, count(*) FILTER (WHERE c_custkey % 16 NOT IN (6, 7)) AS i, count(*) FILTER (WHERE c_custkey % 16 = 6) AS p, count(*) FILTER (WHERE c_custkey % 16 = 7) AS a FROM customer), e AS (SELECT count(*) AS c, count(*) FILTER (WHERE user_id % 31 = 7) AS f FROM events), t AS (SELECT count(*) AS c FROM part)
 SELECT n.c + e.c + t.c AS "linesRead", n.i + t.c AS ignored, 0::BIGINT AS "oversizeLines", t.c AS "ttlLines", n.p + n.a + e.c AS processed, n.p AS "parseErrors", n.a AS "noAttr", 0::BIGINT AS "noNs", e.f AS "namespaceFiltered", e.c - e.f AS "foundOps" FROM n, e, t""",
     "time_range": "SELECT min(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g+00:00')) AS earliest, max(strftime(ts, '%Y-%m-%dT%H:%M:%S.%g+00:00')) AS latest FROM events",
     "driver_stats": f"""WITH {CONNECTIONS} SELECT "driverName", "driverVersion", 'Linux' AS "osType", 'x86_64' AS platform, compressors, username, count(*) AS "connectionCount", count(DISTINCT host) AS "uniqueHosts",

@@ -115,6 +115,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "ops_by_namespace": lambda s, p: rounded(a.by_namespace(events(s, p).main_operations(), "app", "click"), *MAIN),
     "collscan_ops": lambda s, p: a.collscans(events(s, p).main_operations()).select("db", "coll", "op", "appName", "count"),
     "write_operations": lambda s, p: rounded(logs(s, p, "writes").main_operations(), "db", "coll", "op", "appName", "count", "minMs", "maxMs", "p95Ms", "avgReturned"),
+    "command_operations": lambda s, p: logs(s, p, "commands").main_operations(change_stream_label=True).select("db", "coll", "op", "count", "minMs", "maxMs"),
+    "command_labels": lambda s, p: rounded(logs(s, p, "commands").op_type_stats(), "label", "count", "pct"),
+    "command_filters": lambda s, p: logs(s, p, "commands").operations.groupBy("op", "sanitizedFilter").agg(F.count("*").alias("count")),
     "ns_filter_exact": lambda s, p: rounded(events(s, p, namespaces=["app.$cmd"]).main_operations(), *MAIN),
     "ns_filter_db": lambda s, p: rounded(events(s, p, namespaces=["shop", "other.*"]).main_operations(), *MAIN),
     "ns_filter_glob": lambda s, p: rounded(events(s, p, namespaces=["sh*.$c*"]).main_operations(), *MAIN),

@@ -82,6 +82,13 @@ def show(df: DataFrame, rows: int = 50, width: int = 60) -> None:
     df.show(rows, truncate=width)
 
 
+def console(name: str, df: DataFrame, count: str = "count", rows: int = 50) -> None:
+    """K9: a title with the number of groups and their total count, then the first groups."""
+    groups, whole = df.agg(F.count("*"), F.coalesce(F.sum(count), F.lit(0))).first()
+    print(f"{name}: {groups} groups, {whole} in all")
+    show(df.drop(*(c for c in ("sample", "line", "sampleMetadata", "sampleAuth") if c in df.columns)), rows)
+
+
 def write_lines(lines: DataFrame, path: str, column: str = "value") -> None:
     """K10."""
     lines.select(F.col(column).alias("value")).write.mode("overwrite").text(path)
