@@ -43,7 +43,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """``encode`` gives (ids, tokens) of a text, equal to the tokenizer's own on every text."""
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 120_000):
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         self.tokenizer = Tokenizer.from_file(path)
