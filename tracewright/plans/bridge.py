@@ -39,8 +39,8 @@ def _rendered(spark: SparkSession, sf_dir: str, kind: str) -> list[str]:
     if key not in _RENDERED:
         folder = new_folder(spark, kind)
         lines = RENDERERS[kind](spark, sf_dir).withColumn("name", F.col("file"))
-        # a file is one part; sinks write theirs in many
-        lines.repartition("file").sortWithinPartitions("file", "number").select("name", "value").write.partitionBy("name").text(folder)
+        # a file is one part; in this order the writer need not sort by name, which would lose the lines' order
+        lines.repartition("name").sortWithinPartitions("name", "number").select("name", "value").write.partitionBy("name").text(folder)
         system, where = file_system(spark, folder)
         paths = []
         for part in system.globStatus(file_system(spark, f"{folder}/name=*/part-*")[1]):
