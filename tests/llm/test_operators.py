@@ -109,6 +109,15 @@ def test_jaccard_classes_equal_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == sorted({c for _, c in found.values()})
 
 
+def test_components_of_a_long_chain_keep_a_small_plan(spark):
+    """Sizes estimated for joins multiply: carried over the rounds they filled the driver's memory with digits."""
+    n = 1 << 5
+    edges = spark.range(n - 1).select((F.col("id") * 7 % n).alias("a"), ((F.col("id") + 1) * 7 % n).alias("b"))
+    found = jaccard.connected_components(edges)
+    assert found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+    assert sorted((r.node, r.component) for r in found.collect()) == [(i, 0) for i in range(n)]
+
+
 def test_jaccard_of_an_empty_table(spark):
     assert jaccard.jaccard_classes(documents(spark, [])).collect() == []
 

@@ -26,6 +26,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def unsized(df: DataFrame) -> DataFrame:
+    """Checkpointed rows for the next round of a loop, without the size that was estimated for them.
+
+    A checkpoint keeps that estimate, and a join's is the product of its sides': carried from round to round the number's
+    digits multiply, until the driver's memory holds little else.
+    """
+    saved = checkpointed(df)
+    session = saved.sparkSession
+    return DataFrame(session._jsparkSession.internalCreateDataFrame(saved._jdf.queryExecution().toRdd(), saved._jdf.schema(), False), session)
+
+
 def partitions_for(units: int | float | None, per_partition: int, least: int = 12) -> int:
     """A partition count that grows with the data, so that one partition stays of bounded size."""
     return max(least, -(-int(units or 0) // per_partition))
@@ -56,4 +67,4 @@ def in_arrow(rows: DataFrame, function, schema: str) -> DataFrame:
     return bounded(rows).mapInArrow(run, schema)
 
 
-__all__ = ["BATCH_BYTES", "WORD", "bounded", "checkpointed", "give_back", "in_arrow", "new_folder", "partitions_for", "removed", "table"]
+__all__ = ["BATCH_BYTES", "WORD", "bounded", "checkpointed", "give_back", "in_arrow", "new_folder", "partitions_for", "removed", "table", "unsized"]

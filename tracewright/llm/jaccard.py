@@ -35,7 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed, in_arrow, partitions_for
+from .common import checkpointed, in_arrow, partitions_for, unsized
 
 WORDS, PERCENT = 5, 75
 #: Bounds of a packed batch: documents and bytes of text.
@@ -267,13 +267,13 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     Labels take the smallest label of their neighbours, then their label's own label, until none changes.
     """
-    both = checkpointed(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
-    labels = checkpointed(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
+    both = unsized(edges.filter("a <> b").select("a", "b").union(edges.filter("a <> b").select("b", "a")).distinct())
+    labels = unsized(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")))
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         better = labels.join(near, labels["node"] == near["a"]).select("node", F.col("label").alias("old"), F.least("label", "m").alias("label"))
         above = labels.select(F.col("node").alias("up"), F.col("label").alias("top"))
-        new = checkpointed(better.join(above, better["label"] == above["up"], "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
+        new = unsized(better.join(above, better["label"] == above["up"], "left").select("node", "old", F.least("label", F.coalesce("top", "label")).alias("label")))
         moved = new.filter("label <> old").limit(1).count()
         labels = new.select("node", "label")
         if not moved:
