@@ -587,3 +587,37 @@ def test_pipeline_stages_in_order(spark, tmp_path):
     assert sorted(map(str, ids["bpe"])) == sorted(map(str, ids["mixing"]))
     ran = corpus_pipeline.run(spark, str(tmp_path))
     assert sorted(map(tuple, ran.collect()), key=repr) == sorted(map(tuple, docs.collect()), key=repr)
+
+
+def test_workers_keep_no_encoder(spark):
+    """A worker that has encoded carries no encoder into its next task, whatever that does."""
+    from tracewright.llm.common import in_arrow
+
+    rows = spark.range(0, 64, 1, 8).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), "id").alias("text"))
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert bpe.bpe_digests(rows, path).count() == 64 and bpe.bpe_ids(rows, path).count() == 64
+
+    def held(batches):
+        import gc
+        import time
+
+        import pyarrow as pa
+
+        found = sum(type(x).__name__ == "Encoder" for x in gc.get_objects())
+        for batch in batches:
+            time.sleep(0.3)  # so that several workers get a part
+            yield pa.RecordBatch.from_arrays([pa.array([found] * batch.num_rows, pa.int64())], ["n"])
+
+    assert {r.n for r in in_arrow(rows.select("doc_id"), held, "n long").collect()} == {0}
+
+
+def test_shingle_sets_are_the_same_in_parts(monkeypatch):
+    """Words of a part of the texts exist at once, and sets don't depend on where parts end."""
+    random.seed(21)
+    texts = [None, b"", *(" ".join(random.choices("Aa bé c dd E".split(" "), k=random.choice((1, 4, 5, 60)))).encode() for _ in range(300))]
+    whole = jaccard.shingle_sets(texts, jaccard._Words())
+    most, own = [], jaccard._sets_of
+    monkeypatch.setattr(jaccard, "PART_BYTES", 500)
+    monkeypatch.setattr(jaccard, "_sets_of", lambda part, memo: most.append(sum(len(t or b"") for t in part)) or own(part, memo))
+    parts = jaccard.shingle_sets(texts, jaccard._Words())
+    assert [x.tolist() for x in parts] == [x.tolist() for x in whole] and 2 < len(most) and max(most) < 500 + max(len(t or b"") for t in texts)

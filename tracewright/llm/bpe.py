@@ -4,7 +4,8 @@ A merge can only make a token of the vocabulary, so a byte pair that occurs insi
 end up inside one: it is a certain cut.  ``Encoder`` reads these pairs from the vocabulary file.  White
 space occurs in no token beside another byte, so texts are first cut at ASCII white space; each fragment is
 then cut again at the other forbidden pairs, its pieces are merged independently, and the ids are
-concatenated.  Fragments repeat, so their ids are kept in a bounded memo.
+concatenated.  Fragments repeat, so their ids are kept in a bounded memo.  An encoder lives as long as its task,
+for workers outlive theirs and would carry it through whatever comes next.
 
 Defined results: a null text is an empty one and has no ids; ids of equal texts are equal.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -157,17 +157,13 @@ class Encoder:
         return self.tokenizer.decode(ids, skip_special_tokens=False)
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Encoder:
-    return Encoder(path)
-
-
 def bpe_digests(documents: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, n_tokens, and SHA-256 of the ids and of the decoded text."""
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = None
         for batch in batches:
+            bpe = bpe or Encoder(path)
             n, ids, decoded = [], [], []
             for a, b, k in bpe.encode_all(batch.column(1).to_pylist()):
                 n.append(k)
@@ -183,8 +179,9 @@ def bpe_ids(documents: DataFrame, path: str, key: str = "doc_id", text: str = "t
     """Per row: doc_id and its token ids as an array."""
 
     def run(batches):
-        bpe = encoder(path)
+        bpe = None
         for batch in batches:
+            bpe = bpe or Encoder(path)
             ids = [[*map(int, a.split())] for a, _, _ in bpe.encode_all(batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 

@@ -40,6 +40,8 @@ from .common import checkpointed, in_arrow, partitions_for, unsized
 WORDS, PERCENT = 5, 75
 #: Bounds of a packed batch: documents and bytes of text.
 BATCH_DOCUMENTS, BATCH_BYTES = 16_384, 6 << 20
+#: Bytes of text whose words exist at once; a longer text is a part of its own.
+PART_BYTES = 1 << 20
 #: Incidences in one range of hashes, and bits of a hash that are kept below its range at most.
 RANGE, LOW_BITS, LEAST_RANGE_BITS = 1 << 20, 48, 4
 #: A shingle is listed by a batch if one in so many of its documents holds it, and is frequent if one in so many of all do.
@@ -65,6 +67,17 @@ def _mixed(h: np.ndarray) -> np.ndarray:
 
 def shingle_sets(texts: list[bytes | None], memo: dict) -> list[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each text."""
+    out, part, size = [], [], 0
+    for text in texts:
+        part.append(text)
+        size += len(text or b"")
+        if size >= PART_BYTES:
+            out += _sets_of(part, memo)
+            part, size = [], 0
+    return out + _sets_of(part, memo)
+
+
+def _sets_of(texts: list[bytes | None], memo: dict) -> list[np.ndarray]:
     if len(memo) > 200_000:
         memo.clear()
     # bytes.lower touches A-Z only, and bytes.split cuts at ASCII white space only
