@@ -621,3 +621,15 @@ def test_shingle_sets_are_the_same_in_parts(monkeypatch):
     monkeypatch.setattr(jaccard, "_sets_of", lambda part, memo: most.append(sum(len(t or b"") for t in part)) or own(part, memo))
     parts = jaccard.shingle_sets(texts, jaccard._Words())
     assert [x.tolist() for x in parts] == [x.tolist() for x in whole] and 2 < len(most) and max(most) < 500 + max(len(t or b"") for t in texts)
+
+
+def test_license_texts_speak_for_their_source(spark):
+    mit = "The MIT License (MIT)\n\nCopyright (c) 2020 someone\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software.\n"
+    gpl = "\n        GNU GENERAL PUBLIC LICENSE\n           Version 3, 29 June 2007\n\n Copyright"
+    rows = [(1, mit, "en", "a"), (2, "plain words", "fr", "a"), (3, "words\nReleased under the ISC License.", "en", "a"), (4, None, None, "a"), (5, "plain words", "en", "b"), (6, "Licensed under the Apache License, Version 2.0.\nwords", "en", "b"), (7, gpl, "en", None), (8, gpl, "en", ""), (9, "plain words", "en", None), (10, "plain words", "en", ""), (11, "The MIT License and other songs\nReleased under the MIT License.", "en", "c"), (12, "plain words", "en", "c"), (13, gpl, None, "d"), (None, "plain words", "de", "d"), (2, "plain words", "fr", "a"), (14, gpl, "en", "b/en")]
+    found = licenses.document_licenses(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))
+    got = sorted(((r.doc_id, r.own_license, r.license, r.via, r.inherited_from) for r in found.collect()), key=repr)
+    own = lambda i, name: (i, name, name, "own", None)
+    none = lambda i: (i, None, None, "none", None)
+    given = lambda i, name, source: (i, None, name, "inherited", source)
+    assert got == sorted([own(1, "MIT"), given(2, "MIT", "a"), own(3, "ISC"), given(4, "MIT", "a"), none(5), own(6, "Apache-2.0"), own(7, "GPL-3.0"), own(8, "GPL-3.0"), none(9), none(10), own(11, "MIT"), none(12), own(13, "GPL-3.0"), given(None, "GPL-3.0", "d"), given(2, "MIT", "a"), own(14, "GPL-3.0")], key=repr)

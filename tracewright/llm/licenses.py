@@ -60,6 +60,10 @@ TERM = re.compile(r"[a-z]+[0-9]*|[0-9]+(?:\.[0-9]+)*")
 #: Marks of comments and space at the beginning of a line.
 MARKS = r"[ \t#*/;%>|-]*"
 LICENSE_FILE = r"(?i)^(licen[sc]e|licen[sc]es|copying|unlicense|notice)([.-].*)?$"
+#: Characters of a heading's line, at most; longer lines are none.
+LINE = 200
+#: First lines of license texts, the headings that these licenses publish.
+HEADINGS = ("Apache License", "Apache License 2.0", "Apache License, Version 2.0", "Apache License Version 2.0, January 2004", "BSD 3-Clause License", "Creative Commons Attribution 4.0 International", "Creative Commons Attribution-NonCommercial 4.0 International", "Creative Commons Attribution-ShareAlike 4.0 International", "CC0 1.0 Universal", "GNU General Public License", "GNU General Public License Version 2, June 1991", "GNU General Public License Version 3, 29 June 2007", "GNU Lesser General Public License", "GNU Lesser General Public License Version 3, 29 June 2007", "ISC License", "MIT License", "The MIT License (MIT)", "Mozilla Public License Version 2.0")
 
 
 def terms_of(text: str) -> Counter:
@@ -209,8 +213,25 @@ def license_scan(files: DataFrame, text: str = "text", path: str = "path", thres
     return found.select(*(F.col(f"file.`{c}`") for c in files.columns if c != text and c not in RESULTS), *RESULTS)
 
 
+def headed(text: Column) -> Column:
+    """Whether the first line that isn't blank is the heading of a license text, and nothing else."""
+    ordered = lambda line: [*dict.fromkeys(t for t in TERM.findall(line.lower()) if t not in STOP)]
+    line = F.regexp_extract(text, r"^[\s#*/;%>|-]*+([^\r\n]*)", 1)
+    first = F.substring(line, 1, LINE)
+    terms = F.array_except(F.array_distinct(_terms(first)), F.array(*map(F.lit, sorted(STOP))))
+    return F.coalesce((F.length(line) <= LINE) & F.array_join(terms, " ").isin(sorted({" ".join(ordered(h)) for h in HEADINGS})), F.lit(False))
+
+
 def document_licenses(documents: DataFrame) -> DataFrame:
-    """Documents as files: the path is source/lang/doc_id.txt."""
-    path = F.concat_ws("/", F.coalesce("source", F.lit("_")), F.coalesce("lang", F.lit("_")), F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    """Documents as files: the path is source/lang/doc_id.txt, and source/LICENSE.doc_id of a license text.
+
+    A license text is known by its heading, for documents have no names; it speaks for its source, in whatever language,
+    and a notice in other text speaks for its document alone.  Rows without a source (null or empty) have no path; slashes in names are written %2F, so
+    that no source lies within another.
+    """
+    number = F.coalesce(F.col("doc_id").cast("string"), F.lit("_"))
+    name = lambda c: F.replace(F.replace(c, F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F"))
+    inside = F.when(headed(F.col("text")), F.concat(F.lit("LICENSE."), number)).otherwise(F.concat(F.coalesce(name("lang"), F.lit("_")), F.lit("/"), number, F.lit(".txt")))
+    path = F.concat(F.nullif(name("source"), F.lit("")), F.lit("/"), inside)
     files = documents.select(F.col("doc_id").cast("long").alias("doc_id"), path.alias("path"), "text")
     return license_scan(files)
